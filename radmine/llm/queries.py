@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing
+from . import chat, langid, lines, media, mixing, tokens, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_line_dedup": lines.op2,
+    "op4_token_counts": tokens.op4,
+    "op6_language_id": langid.op6,
+    "op7_warc": warc.op7,
+    "op8_media": media.op8,
     "op9_chat": chat.op9,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
 }
