@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bounds of training: documents of a language in the sample (expected), n-grams of a language, filter rows (2**), hashes.
-SAMPLE_DOCS, GRAMS, LOG_ROWS, HASHES = 3000, 8000, 20, 3
+SAMPLE_DOCS, GRAMS, LOG_ROWS, HASHES = 3000, 20000, 20, 3
+#: A language contains an n-gram if its share there is at least this part of its largest share in any language.
+RATIO = 0.25
 #: Code points that are worked on at once.
 BLOCK = 1 << 20
 _letters: np.ndarray | None = None
@@ -123,7 +125,7 @@ def fold(id_col: Column) -> Column:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, n_grams: int = GRAMS) -> Model:
     """Fit on rows with text and language: about sample_docs whole texts of each language, chosen by a hash of the id,
-    and of them the n_grams most frequent n-grams (ties by code). What reaches the driver is bounded by languages * n_grams."""
+    and of them the n_grams most frequent n-grams (ties by code) that are not RATIO times rarer than elsewhere. What reaches the driver is bounded by languages * n_grams."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     langs = [r["lang"] for r in sizes]
@@ -141,6 +143,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
     total = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    share_of = total.join(F.broadcast(total.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("share", F.col("n") / F.col("all"))
+    total = share_of.withColumn("most", F.max("share").over(W.partitionBy("code"))).where(F.col("share") >= RATIO * F.col("most"))
     top = total.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("nth") <= n_grams).select("lang", "code").toPandas()
     return Model.build(langs, top["lang"].to_numpy(np.int64), top["code"].to_numpy(np.int64))
 
