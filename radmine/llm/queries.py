@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, media, mixing, tokens, warc
+from . import chat, langid, lines, media, minhash, mixing, tokens, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_line_dedup": lines.op2,
     "op4_token_counts": tokens.op4,
+    "op5_minhash": minhash.op5,
     "op6_language_id": langid.op6,
     "op7_warc": warc.op7,
     "op8_media": media.op8,
