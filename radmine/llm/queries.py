@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, media, minhash, mixing, tokens, warc
+from . import chat, langid, lines, media, minhash, mixing, neighbours, tokens, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_line_dedup": lines.op2,
+    "op3_neighbours": neighbours.op3,
     "op4_token_counts": tokens.op4,
     "op5_minhash": minhash.op5,
     "op6_language_id": langid.op6,
@@ -17,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op3_neighbours": neighbours.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
 }
