@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lines, media, minhash, mixing, neighbours, tokens, warc
+from . import chat, langid, lines, media, minhash, mixing, neighbours, pieces, tokens, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7,
     "op8_media": media.op8,
     "op9_chat": chat.op9,
+    "op10_sentencepiece": pieces.op10,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
