@@ -43,23 +43,26 @@ def source_targets(sizes: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] =
     by_level = W.orderBy(F.col("cap") / F.col("w"), F.col("src").isNull(), F.col("src"))
     before, after, everything = by_level.rowsBetween(W.unboundedPreceding, -1), by_level.rowsBetween(0, W.unboundedFollowing), W.partitionBy(F.lit(1))
     w = w.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything)
+    # the first source in this order that stays below its cap gives the level; those after it would give lower ones
+    level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything)
     return w.withColumn("level", level).select("src", "source_size", "w", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "") -> DataFrame:
-    """One row per input row: id, size, source_size, target, copies, taken.
+def source_key(source: Column) -> Column:
+    """A key that is never null: sources with an s before them, n for none."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
-    A source whose target is q times its size gives floor(q) whole copies of every row, and one more of the rows whose
-    hash is below its threshold; the crossing hash is in if that comes nearer to the target. `taken` = size * copies.
 
-    Null text: size 0. Null source: a source of its own, ordered last. Null ids and repeated rows with one id share a
-    hash: they are taken together. Sources without words: target 0, taken 0. Empty table: no rows. Other columns are
-    not read.
-    """
-    narrow = cut(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col), seed).alias("h")).withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("src")), F.lit("n"))))
+def measured(rows: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """(id, src, key, size, h), checkpointed."""
+    return cut(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), source_key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col), seed).alias("h")))
+
+
+def thresholds(narrow: DataFrame, cap: float, cycle: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """(key, source_size, target, whole, cut_at) of each source, checkpointed, and their number: rows of a source are taken
+    `whole` times, and once more if their hash is below cut_at."""
     sizes = narrow.groupBy("key", "src").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(sizes, cap, cycle).withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("src")), F.lit("n")))
+    plan = source_targets(sizes, cap, cycle).withColumn("key", source_key(F.col("src")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = cut(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     n_sources = plan.count()
@@ -84,11 +87,36 @@ def mix(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             break
     # sources in which nothing crosses have rest = 0 or no words: no further copy
     final = cut(plan.join(done, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("cut_at", F.lit(0)).cast("long").alias("cut_at")))
+    return final, n_sources
+
+
+def mix(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3), seed: str = "") -> DataFrame:
+    """One row per input row: id, size, source_size, target, copies, taken.
+
+    A source whose target is q times its size gives floor(q) whole copies of every row, and one more of the rows whose
+    hash is below its threshold; the crossing hash is in if that comes nearer to the target. `taken` = size * copies.
+
+    Null text: size 0. Null source: a source of its own, ordered last. Null ids and repeated rows with one id share a
+    hash: they are taken together. Sources without words: target 0, taken 0. Empty table: no rows. Other columns are
+    not read.
+    """
+    narrow = measured(rows, id_col, text_col, source_col, seed)
+    final, n_sources = thresholds(narrow, cap, cycle)
     out = join_small(narrow, final, ["key"], salt=F.col("h"), rows=n_sources)
     copies = (F.col("whole") + F.when(F.col("h") < F.col("cut_at"), 1).otherwise(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def stage(docs: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Every row as many times as the mix takes it: rows are filtered and repeated by their source's threshold. In sources
+    without words every row stays once."""
+    final, n = thresholds(measured(docs, "doc_id", "text", "source", ""), cap, cycle)
+    own = docs.withColumns({"_key": source_key(F.col("source")), "_h": id_hash(F.col("doc_id"))})
+    out = join_small(own, final.select(F.col("key").alias("_key"), "source_size", "whole", "cut_at").withColumnsRenamed({"source_size": "_size", "whole": "_whole", "cut_at": "_cut"}), ["_key"], salt=F.col("_h"), rows=n)
+    copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_whole") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)).cast("int")
+    return out.withColumn("_n", copies).where("_n > 0").withColumn("_nth", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(docs.columns)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -102,7 +130,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
              / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-m AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS lv FROM l),
+m AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS lv FROM l),
 p AS (SELECT source, source_size, least(cap, coalesce(lv * w, cap))::DOUBLE AS target FROM m),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM p),
 r AS (SELECT d.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS rest,
