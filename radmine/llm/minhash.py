@@ -4,10 +4,11 @@ Darts are thrown by hashing into the regions (weight x rank) of each weighted sh
 shingles' weights and below a rank that leaves about k ln k + 2k of them, and the earliest dart of each of k coordinates
 is its signature (Christiani, 2020). Equal signature bands make candidates, exact weighted Jaccard decides.
 
-Documents with equal shingle weights are one class from the start. Within a band bucket all classes are compared with the
-bucket's first one; components of the links so far follow; only members of different components of a bucket are then
-compared with each other. Links inside a component cannot change it, so none that counts is lost, and a group of copies
-costs a number of pairs proportional to its size.
+Documents with equal shingle weights are one class from the start. Within a band bucket all classes are compared with one,
+that which meets most others over all bands (the centre of a group of copies); components of the links so far follow; only members of different components of a bucket are then
+compared with each other, and only where the weight that each has for itself alone allows the similarity asked for.
+Links inside a component cannot change it, so none that counts is lost, and a group of copies costs a number of pairs
+proportional to its size.
 """
 
 from __future__ import annotations
@@ -164,14 +165,22 @@ def _sets(width: int, weights: str):
     return run
 
 
-def _verify(threshold: float):
-    def load(u: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-        h = np.frombuffer(u, np.uint64)
-        return h, (np.frombuffer(w, np.uint32).astype(np.float64) if w else np.ones(len(h)))
+def _load(u: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(u, np.uint64)
+    return h, (np.frombuffer(w, np.uint32).astype(np.float64) if w else np.ones(len(h)))
+
+
+def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in frames:
+        for c, u, w in zip(df["c"], df["u"], df["w"], strict=True):
+            h, weight = _load(u, w)
+            yield pd.DataFrame({"h": h.view(np.int64), "c": [c] * len(h), "w": weight})
 
+
+def _verify(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            sims = [jaccard(load(ua, wa), load(ub, wb)) for ua, wa, ub, wb in zip(df["ua"], df["wa"], df["ub"], df["wb"], strict=True)]
+            sims = [jaccard(_load(ua, wa), _load(ub, wb)) for ua, wa, ub, wb in zip(df["ua"], df["wa"], df["ub"], df["wb"], strict=True)]
             yield df[["a", "b"]][np.array(sims) >= threshold]
 
     return run
@@ -190,11 +199,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(own.select("rid", "text").mapInPandas(_sign(width, weights, bands, rows), "rid long, c binary, n long, bands array<long>"), "signatures")
     classes = stored(signed.groupBy("c").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select(F.explode("bands").alias("band"), "c", "n")
-    hubs = buckets.groupBy("band").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
-    shared = stored(buckets.join(hubs, "band"), "buckets")
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    meeting = stored(buckets.join(sizes, "band"), "meeting")
+    # the class that meets most others over all its bands is nearest to a group's centre
+    meets = meeting.groupBy("c").agg(F.sum("m").alias("meets"))
+    ranked = stored(meeting.select("band", "c", "n").join(meets, "c"), "ranked")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("meets", "c", "n")).alias("hub"))
+    shared = stored(ranked.drop("meets").join(hubs, "band"), "buckets")
 
     close = lambda a, b: F.least(a, b) >= F.greatest(a, b) * threshold  # noqa: E731  else the similarity is below
-    first = cut(shared.where("c <> hub.c").where(close(F.col("n"), F.col("hub.n"))).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct())
+    first = cut(shared.where("c <> hub.c").where(close(F.col("n"), F.col("hub.n"))).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct())
     wanted = cut(shared.select("c").distinct().join(classes.select("c", "rep"), "c").select(F.col("rep").alias("rid")))
     sets = stored(join_small(own.select("rid", "text"), wanted.distinct(), ["rid"], "left_semi").select("text").mapInPandas(_sets(width, weights), "c binary, u binary, w binary"), "sets")
 
@@ -207,10 +221,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = shared.join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     split = member.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
     rest = stored(member.join(split, "band", "left_semi").select("band", "c", "n", "component"), "rest")
-    a, b = rest, rest.select("band", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    second = a.join(b, "band").where((F.col("component") < F.col("component2")) & close(F.col("n"), F.col("n2")))
+    # weight that a class shares with no other one here bounds its similarity to each of them
+    alone = sets.join(rest.select("c").distinct(), "c", "left_semi").mapInPandas(_spread, "h long, c binary, w double")
+    alone = alone.groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("w").alias("w")).where("c = c2").groupBy("c").agg(F.sum("w").alias("alone"))
+    rest = rest.join(alone, "c", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0.0))).drop("alone")
+    rest = stored(rest.where(F.col("most") >= F.col("n") * threshold), "rest-able")
+    a, b = rest, rest.select("band", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "most")])
+    common = F.least("most", "most2")
+    second = a.join(b, "band").where((F.col("component") < F.col("component2")) & (common >= (F.col("n") + F.col("n2") - common) * threshold))
     second = second.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
-    second = cut(second.join(first, ["a", "b"], "left_anti"))  # the hub has the smallest class of its bucket: a < b there too
+    second = cut(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         group = components(links.unionByName(verified(second)))
     of_class = classes.select("c").join(group.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("component"))
