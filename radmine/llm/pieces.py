@@ -12,13 +12,13 @@ Neither texts nor word occurrences are shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from .common import cut, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of the relational table: rows, and characters of a word; entries of a worker's cache.
-VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 150_000, 256
+VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 500_000, 256
 # Kinds of pieces and algorithms in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 ALGORITHMS = {1: "unigram", 2: "bpe"}
@@ -71,14 +71,20 @@ class Model:
 
     def __post_init__(self) -> None:
         self.ids = {p: (i, s) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
+        self.ranks = {p: -s for p, (_, s) in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
-        self.silent = {i for i, x in enumerate(self.pieces) if x[2] == CONTROL}
         self.longest = max(map(len, self.ids), default=1)
         self.lowest = min((s for _, s in self.ids.values()), default=0.0) - 10
         across = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.chunk = re.compile(r"(?s).+" if across else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.spaced = not across and self.dummy_prefix
+        # no piece spans these places, so no merge or best path does: texts may be cut there
+        inside = {c for p in self.ids if len(p) > 1 for c in p}
+        self.breaks = [c for c in "\n\r\t" if c not in inside]
+        self.closing = {c for c in ".,;:!?)\"'" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids)}
+        self.shown = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(SPACE, " ") for p, _, kind in self.pieces]
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -104,7 +110,43 @@ class Model:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
 
     def encode_word(self, word: str) -> list[int]:
-        return self._viterbi(word) if self.algorithm == "unigram" else self._merge(word)
+        if self.algorithm == "unigram":
+            return self._viterbi(word)
+        return self._merge(word) if len(word) > 48 else self._merge_short(word)
+
+    def cuts(self, word: str) -> list[str]:
+        """Parts of a word that can be encoded by themselves: at line ends, and before a closing mark after a letter."""
+        for c in self.breaks:
+            if c in word:
+                a, _, b = word.partition(c)
+                return [x for x in (a, c, b) if x]
+        if len(word) > 2 and word[-1] in self.closing and word[-2].isalpha():
+            return [word[:-1], word[-1]]
+        return [word]
+
+    def encode_text(self, text: str, known: dict[str, tuple[int, ...]], cache: dict[str, tuple[int, ...]]) -> list[int]:
+        """known and cache have ids of words, spaces being U+2581."""
+        out: list[int] = []
+
+        def slow(word: str) -> tuple[int, ...]:
+            got = known.get(word) or cache.get(word)
+            if got is None:
+                parts = self.cuts(word)
+                got = tuple(self.encode_word(word)) if len(parts) == 1 else tuple(i for p in parts for i in slow(p))
+                if len(word) < 100:
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    cache[word] = got
+            return got
+
+        get = known.get
+        if self.spaced and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+            words = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+        else:
+            words = self.chunk.findall(self.escape(text))
+        for w in words:
+            out.extend(get(w) or slow(w))
+        return out
 
     def _viterbi(self, word: str) -> list[int]:
         best: list[tuple[float, int, list[int]] | None] = [(0.0, 0, [])] + [None] * len(word)
@@ -120,6 +162,25 @@ class Model:
             e = best[e][1]
         return [i for part in reversed(out) for i in part]
 
+    def _merge_short(self, word: str) -> list[int]:
+        """_merge without a queue: the smallest of a few numbers is found faster than it is kept."""
+        rank, none = self.ranks.get, float("inf")
+        parts = list(word)
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+        ids = self.ids
+        return [i for p in parts for i in ((ids[p][0],) if p in ids else self.fallback(p))]
+
     def _merge(self, word: str) -> list[int]:
         n, ids = len(word), self.ids
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts here
@@ -152,6 +213,9 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; byte pieces are joined to UTF-8 (wrong sequences become U+FFFD), control pieces are silent."""
+        if self.byte_of.keys().isdisjoint(ids):
+            text = "".join([self.shown[i] for i in ids])
+            return text[1:] if self.dummy_prefix and text.startswith(" ") else text
         out, raw = [], []
         for i in ids:
             if i in self.byte_of:
@@ -160,11 +224,10 @@ class Model:
             if raw:
                 out.append(b"".join(raw).decode("utf-8", "replace"))
                 raw = []
-            if i not in self.silent:
-                out.append(self.pieces[i][0] if i != self.unknown else " ⁇ ")
+            out.append(self.shown[i])
         if raw:
             out.append(b"".join(raw).decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(out)
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -221,7 +284,9 @@ def frequent_words(docs: DataFrame, model: Model, text_col: str = "text", limit:
     if model.chunk.pattern.startswith("(?s)"):
         return docs.sparkSession.createDataFrame([], "word string, count long")
     escaped = F.concat(F.lit(SPACE if model.dummy_prefix else ""), F.replace(F.col(text_col), F.lit(" "), F.lit(SPACE)))
-    words = docs.select(F.explode(F.split(escaped, f"(?<=[^{SPACE}])(?={SPACE})")).alias("word")).where(F.length("word").between(1, chars))
+    ends = "".join(model.breaks)
+    at = f"(?<=[^{SPACE}])(?={SPACE})" + (f"|(?<=[{ends}])|(?=[{ends}])" if ends else "")
+    words = docs.select(F.explode(F.split(escaped, at)).alias("word")).where(F.length("word").between(1, chars))
     counts = cut(words.groupBy("word").count().where("count > 1"))
     total, least = 0, None
     for n, m in sorted(((r["count"], r["m"]) for r in counts.groupBy(F.least("count", F.lit(4096)).alias("count")).agg(F.count("*").alias("m")).collect()), reverse=True):
@@ -253,17 +318,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: di
                 part = df.iloc[i : i + OUT_ROWS].copy()
                 all_ids, texts = [], []
                 for text in part[text_col]:
-                    ids: list[int] = []
-                    for w in m.chunk.findall(m.escape(text)) if isinstance(text, str) else ():
-                        got = words.get(w) or cache.get(w)
-                        if got is None:
-                            got = tuple(m.encode_word(w))
-                            if len(w) < 100:
-                                if len(cache) >= CACHE:
-                                    cache.clear()
-                                cache[w] = got
-                        ids += got
-                    all_ids.append(ids)
+                    ids = m.encode_text(text, words, cache) if isinstance(text, str) else []
+                    all_ids.append(np.array(ids, np.int32))
                     texts.append(m.decode(ids))
                 yield part.assign(ids=all_ids, decoded=texts)
 
@@ -274,11 +330,11 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: di
 
 
 def digests(encoded: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids_md5 (of the ids joined by commas), decoded_md5, round_trip."""
+    """doc_id, n_pieces, ids_hash (xxhash64 of the ids), decoded_md5, round_trip."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
-        F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5"),
+        F.xxhash64("ids").alias("ids_hash"),
         F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"),
         (F.col("decoded") == F.coalesce(F.col(text_col), F.lit(""))).alias("round_trip"),
     )
