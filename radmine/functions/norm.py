@@ -10,6 +10,12 @@ from ..vocab import BUCKET_ASSERTION, HEAD_ALIASES, IRREGULAR_PLURALS, LOBES, NO
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it: expressions are trees, and neither filters nor
+    lambdas share their parts."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """White space of any kind to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
@@ -43,9 +49,12 @@ def head(raw: Column, compat: bool = True) -> Column:
     s = squeeze(F.lower(F.coalesce(raw, F.lit(""))))
     for phrase in NORMAL_PHRASES:
         s = F.regexp_replace(s, phrase, "normal")
-    last = F.substring_index(s, " ", -1)
-    first = F.left(s, F.length(s) - F.length(last))
-    return F.coalesce(lookup(HEAD_ALIASES, s), F.concat(first, singular(last, compat)))
+
+    def canonical(s: Column) -> Column:
+        last = lambda w: F.concat(F.left(s, F.length(s) - F.length(w)), singular(w, compat))
+        return F.coalesce(lookup(HEAD_ALIASES, s), let(F.substring_index(s, " ", -1), last))
+
+    return let(s, canonical)
 
 
 def assertion(raw: Column, unknown: str | Column = "unknown") -> Column:
@@ -97,10 +106,12 @@ def region(text: Column) -> Column:
 
 def location(raw: Column) -> Column:
     """struct(laterality, region, lobe, raw, needs_review) of one location text; null and empty: none, other, none."""
-    clean = squeeze(F.coalesce(raw, F.lit("")))
-    text = F.lower(clean)
-    side, review = laterality(text)
-    return F.struct(side.alias("laterality"), region(text).alias("region"), lobe(text).alias("lobe"), clean.alias("raw"), review.alias("needs_review"))
+
+    def of(clean: Column, text: Column) -> Column:
+        side, review = laterality(text)
+        return F.struct(side.alias("laterality"), region(text).alias("region"), lobe(text).alias("lobe"), clean.alias("raw"), review.alias("needs_review"))
+
+    return let(squeeze(F.coalesce(raw, F.lit(""))), lambda clean: let(F.lower(clean), lambda text: of(clean, text)))
 
 
 def locations(texts: Column) -> Column:
