@@ -6,8 +6,7 @@ is its signature (Christiani, 2020). Equal signature bands make candidates, exac
 
 Documents with equal shingle weights are one class from the start. Within a band bucket all classes are compared with one,
 that which meets most others over all bands (the centre of a group of copies); components of the links so far follow; only members of different components of a bucket are then
-compared with each other, and only where the weight that each has for itself alone allows the similarity asked for.
-Links inside a component cannot change it, so none that counts is lost, and a group of copies costs a number of pairs
+compared with each other, by an exact prefix join over their shingles, the rarest first. Links inside a component cannot change it, so none that counts is lost, and a group of copies costs a number of pairs
 proportional to its size.
 """
 
@@ -177,6 +176,19 @@ def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": h.view(np.int64), "c": [c] * len(h), "w": weight})
 
 
+def _prefix(threshold: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for c, n, component, x in zip(df["c"], df["n"], df["component"], df["x"], strict=True):
+                w = np.array([e["w"] for e in x])
+                left = n - (np.cumsum(w) - w)  # weight from this shingle on
+                keep = [i for i in np.flatnonzero(left >= threshold * n - 1e-6) if x[i]["df"] > 1]
+                if keep:
+                    yield pd.DataFrame({"c": [c] * len(keep), "n": n, "component": [component] * len(keep), "h": [x[i]["h"] for i in keep], "left": left[keep]})
+
+    return run
+
+
 def _verify(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -220,15 +232,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = components(links)
     member = shared.join(group.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     split = member.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    rest = stored(member.join(split, "band", "left_semi").select("band", "c", "n", "component"), "rest")
-    # weight that a class shares with no other one here bounds its similarity to each of them
-    alone = sets.join(rest.select("c").distinct(), "c", "left_semi").mapInPandas(_spread, "h long, c binary, w double")
-    alone = alone.groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("c2"), F.min("w").alias("w")).where("c = c2").groupBy("c").agg(F.sum("w").alias("alone"))
-    rest = rest.join(alone, "c", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0.0))).drop("alone")
-    rest = stored(rest.where(F.col("most") >= F.col("n") * threshold), "rest-able")
-    a, b = rest, rest.select("band", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "most")])
-    common = F.least("most", "most2")
-    second = a.join(b, "band").where((F.col("component") < F.col("component2")) & (common >= (F.col("n") + F.col("n2") - common) * threshold))
+    rest = member.join(split, "band", "left_semi")
+    # an exact join by rare shingles (prefix and positions): in the order of their frequency here, the first shingle that two
+    # classes share leaves each of them no more than the weight from there on in common
+    nodes = cut(rest.select("c", "n", "component").distinct())
+    spread = sets.join(nodes.select("c"), "c", "left_semi").mapInPandas(_spread, "h long, c binary, w double")
+    known = spread.join(spread.groupBy("h").agg(F.count("*").alias("df")).select(F.col("h").alias("h2"), "df"), F.col("h") == F.col("h2"))
+    ordered = known.groupBy("c").agg(F.sort_array(F.collect_set(F.struct("df", "h", "w"))).alias("x")).join(nodes, "c")
+    first_ones = stored(ordered.select("c", "n", "component", "x").mapInPandas(_prefix(threshold), "c binary, n long, component binary, h long, left double"), "prefixes")
+    a, b = first_ones, first_ones.select("h", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "left")])
+    needed = (F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-6
+    second = a.join(b, "h").where((F.col("component") < F.col("component2")) & (F.least("left", "left2") >= needed))
     second = second.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
     second = cut(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
