@@ -62,6 +62,17 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(wide, [*on, "_salt"], how).drop("_salt")
 
 
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system (workers live on and serve other stages)."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges: one row (node, component) per node that has an edge; component is the smallest node.
 

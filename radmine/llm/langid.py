@@ -25,7 +25,7 @@ SAMPLE_DOCS, GRAMS, LOG_ROWS, HASHES = 3000, 20000, 20, 3
 #: A language contains an n-gram if its share there is at least this part of its largest share in any language.
 RATIO = 0.25
 #: Code points that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _letters: np.ndarray | None = None
 
 

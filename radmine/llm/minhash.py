@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_small, stored, table
+from .common import components, cut, join_small, stored, table, trim
 from .shingles import mix, shingle_arrays
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
@@ -143,6 +143,7 @@ def _sign(width: int, weights: str, bands: int, rows: int):
                         out.append((rid, _key(u, w), int(w.sum()), band.view(np.int64)))
                     yield pd.DataFrame(out, columns=["rid", "c", "n", "bands"])
                     batch, size = [], 0
+        trim()
 
     return run
 
@@ -179,12 +180,16 @@ def _spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _prefix(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            for c, n, component, x in zip(df["c"], df["n"], df["component"], df["x"], strict=True):
-                w = np.array([e["w"] for e in x])
+            for c, n, component, h, often, w in zip(*(df[x] for x in ("c", "n", "component", "h", "df", "w")), strict=True):
+                h, first = np.unique(np.asarray(h), return_index=True)  # repeated rows gave their shingles again
+                often, w = np.asarray(often)[first], np.asarray(w)[first]
+                order = np.lexsort((h, often))
+                h, often, w = h[order], often[order], w[order]
                 left = n - (np.cumsum(w) - w)  # weight from this shingle on
-                keep = [i for i in np.flatnonzero(left >= threshold * n - 1e-6) if x[i]["df"] > 1]
-                if keep:
-                    yield pd.DataFrame({"c": [c] * len(keep), "n": n, "component": [component] * len(keep), "h": [x[i]["h"] for i in keep], "left": left[keep]})
+                keep = (left >= threshold * n - 1e-6) & (often > 1)
+                if keep.any():
+                    k = int(keep.sum())
+                    yield pd.DataFrame({"c": [c] * k, "n": n, "component": [component] * k, "h": h[keep], "left": left[keep]})
 
     return run
 
@@ -237,9 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes share leaves each of them no more than the weight from there on in common
     nodes = cut(rest.select("c", "n", "component").distinct())
     spread = sets.join(nodes.select("c"), "c", "left_semi").mapInPandas(_spread, "h long, c binary, w double")
-    known = spread.join(spread.groupBy("h").agg(F.count("*").alias("df")).select(F.col("h").alias("h2"), "df"), F.col("h") == F.col("h2"))
-    ordered = known.groupBy("c").agg(F.sort_array(F.collect_set(F.struct("df", "h", "w"))).alias("x")).join(nodes, "c")
-    first_ones = stored(ordered.select("c", "n", "component", "x").mapInPandas(_prefix(threshold), "c binary, n long, component binary, h long, left double"), "prefixes")
+    known = spread.join(spread.groupBy("h").agg(F.count("*").alias("df")), "h")
+    listed = known.groupBy("c").agg(*[F.collect_list(x).alias(x) for x in ("h", "df", "w")]).join(nodes, "c")
+    first_ones = stored(listed.select("c", "n", "component", "h", "df", "w").mapInPandas(_prefix(threshold), "c binary, n long, component binary, h long, left double"), "prefixes")
     a, b = first_ones, first_ones.select("h", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component", "left")])
     needed = (F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-6
     second = a.join(b, "h").where((F.col("component") < F.col("component2")) & (F.least("left", "left2") >= needed))

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of the relational table: rows, and characters of a word; entries of a worker's cache.
-VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 500_000, 256
+VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 250_000, 256
 # Kinds of pieces and algorithms in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 ALGORITHMS = {1: "unigram", 2: "bpe"}
@@ -322,6 +322,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: di
                     all_ids.append(np.array(ids, np.int32))
                     texts.append(m.decode(ids))
                 yield part.assign(ids=all_ids, decoded=texts)
+        del words, m, cache
+        trim()
 
     from pyspark.sql import types as T
 

@@ -9,7 +9,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = pow(int(BASE), -1, 1 << 64)
 #: Bytes of text that are hashed at once (a longer text is hashed by itself).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
