@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ from .common import cut, table, trim
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of the relational table: rows, and characters of a word; entries of a worker's cache.
-VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 250_000, 256
+VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 300_000, 256
 # Kinds of pieces and algorithms in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 ALGORITHMS = {1: "unigram", 2: "bpe"}
@@ -68,6 +69,7 @@ class Model:
     algorithm: str = "unigram"
     dummy_prefix: bool = True
     ids: dict[str, tuple[int, float]] = field(default_factory=dict)
+    _table: tuple | None = None
 
     def __post_init__(self) -> None:
         self.ids = {p: (i, s) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
@@ -83,6 +85,7 @@ class Model:
         # no piece spans these places, so no merge or best path does: texts may be cut there
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         self.breaks = [c for c in "\n\r\t" if c not in inside]
+        self.neighbours = {pair for p in self.ids for pair in zip(p, p[1:])}  # noqa: B905
         self.closing = {c for c in ".,;:!?)\"'" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids)}
         self.shown = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(SPACE, " ") for p, _, kind in self.pieces]
 
@@ -115,38 +118,139 @@ class Model:
         return self._merge(word) if len(word) > 48 else self._merge_short(word)
 
     def cuts(self, word: str) -> list[str]:
-        """Parts of a word that can be encoded by themselves: at line ends, and before a closing mark after a letter."""
+        """Parts of a word that can be encoded by themselves: at line ends, before a closing mark after a letter, and
+        between neighbours that no piece has next to each other."""
         for c in self.breaks:
             if c in word:
                 a, _, b = word.partition(c)
                 return [x for x in (a, c, b) if x]
         if len(word) > 2 and word[-1] in self.closing and word[-2].isalpha():
             return [word[:-1], word[-1]]
-        return [word]
-
-    def encode_text(self, text: str, known: dict[str, tuple[int, ...]], cache: dict[str, tuple[int, ...]]) -> list[int]:
-        """known and cache have ids of words, spaces being U+2581."""
-        out: list[int] = []
+        met, start, parts = self.neighbours, 0, []
+        for i, pair in enumerate(zip(word, word[1:]), 1):  # noqa: B905
+            if pair not in met:
+                parts.append(word[start:i])
+                start = i
+        parts.append(word[start:])
+        return parts
+
+    def encoder(self, known: dict[str, tuple[int, ...]]):
+        """texts -> ids of each. known: ids of frequent words, spaces being U+2581; other words and parts go to caches of bounded size."""
+        cache: dict[str, tuple[int, ...]] = {}
+        bare = {w[1:]: ids for w, ids in known.items() if w[0] == SPACE}  # of words after one space, as texts have them
+        more: dict[str, tuple[int, ...]] = {}
+
+        def keep(where: dict, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+            if len(word) < 100:
+                if len(where) >= CACHE:
+                    where.clear()
+                where[word] = ids
+            return ids
 
         def slow(word: str) -> tuple[int, ...]:
             got = known.get(word) or cache.get(word)
-            if got is None:
-                parts = self.cuts(word)
-                got = tuple(self.encode_word(word)) if len(parts) == 1 else tuple(i for p in parts for i in slow(p))
-                if len(word) < 100:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = got
-            return got
-
-        get = known.get
-        if self.spaced and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
-            words = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-        else:
-            words = self.chunk.findall(self.escape(text))
-        for w in words:
-            out.extend(get(w) or slow(w))
-        return out
+            if got is not None:
+                return got
+            parts = self.cuts(word)
+            if len(parts) == 1:
+                return keep(cache, word, tuple(self.encode_word(word)))
+            return tuple([i for p in parts for i in slow(p)])
+
+        def plain(text: str) -> bool:
+            return bool(self.spaced and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ")
+
+        def run(texts: list[str]) -> list[list[int]]:
+            split = [t.split(" ") if plain(t) else None for t in texts]
+            new = [w for w in {w for words in split if words for w in words} if w not in bare and w not in more]
+            if len(more) + len(new) > CACHE:
+                more.clear()
+                new = [w for w in {w for words in split if words for w in words} if w not in bare]
+            more.update(zip(new, self.encode_many([SPACE + w for w in new]), strict=True))
+            get, again, results = bare.get, more.get, []
+            for text, words in zip(texts, split, strict=True):
+                out: list[int] = []
+                extend = out.extend
+                for w in words or ():
+                    extend(get(w) or again(w))
+                if words is None:
+                    for w in self.chunk.findall(self.escape(text)):
+                        extend(slow(w))
+                results.append(out)
+            return results
+
+        return run
+
+    def encode_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """encode_word of each, many at once where merges are looked up in arrays: words of like lengths form a matrix of
+        symbols, and each step merges the best-ranked neighbours of every row, the first of equals."""
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        if self.algorithm == "bpe":
+            for low, high in ((1, 6), (6, 10), (10, 16), (16, 48)):
+                rows = [i for i, w in enumerate(words) if low < len(w) <= high]
+                for at in range(0, len(rows), 4096):
+                    self._merge_rows(words, rows[at : at + 4096], high, out)
+        return [tuple(self.encode_word(w)) if o is None else o for w, o in zip(words, out, strict=True)]
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the pairs of pieces that merge, with the merged pieces' ranks and ids; ids of characters."""
+        if self._table is None:
+            found = []
+            for p, (i, s) in self.ids.items():
+                for cut in range(1, len(p)):
+                    a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
+                    if a and b:
+                        found.append((a[0] << 32 | b[0], -s, i))
+            found.sort()
+            chars = np.full(0x110000, -1, np.int64)
+            for p, (i, _) in self.ids.items():
+                if len(p) == 1:
+                    chars[ord(p)] = i
+            self._table = (np.array([x[0] for x in found] + [1 << 62]), np.array([x[1] for x in found] + [np.inf]), np.array([x[2] for x in found] + [-1]), chars)
+        return self._table
+
+    def _merge_rows(self, words: list[str], rows: list[int], width: int, out: list) -> None:
+        if not rows:
+            return
+        keys, ranks, merged, chars = self._pairs()
+
+        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Index of each pair, the last one for none."""
+            key = np.where((a < 0) | (b < 0), 0, a << 32 | b)
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, at, len(keys) - 1)
+
+        sizes = np.array([len(words[i]) for i in rows])
+        codes = np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        cells = np.arange(width) < sizes[:, None]
+        s = np.full((len(rows), width + 1), -2, np.int64)
+        s[:, :width][cells] = chars[codes]
+        left, steps = np.arange(len(rows)), np.arange(width + 1)
+        best = look(s[:, :-1], s[:, 1:])
+        done = np.empty_like(s)
+        while len(left):
+            cost = ranks[best]
+            i = cost.argmin(1)
+            live = np.isfinite(cost[np.arange(len(i)), i])
+            done[left[~live]] = s[~live]
+            s, best, left, i = s[live], best[live], left[live], i[live]
+            if not len(left):
+                break
+            r = np.arange(len(left))
+            one = merged[best[r, i]]
+            shift = np.minimum(steps + (steps > i[:, None]), width)
+            s = np.take_along_axis(s, shift, 1)
+            s[:, -1] = -2
+            s[r, i] = one
+            best = np.take_along_axis(best, np.minimum(shift[:, :-1], width - 1), 1)
+            best[:, -1] = len(keys) - 1
+            best[r, i] = look(one, s[r, i + 1])
+            has = np.flatnonzero(i > 0)
+            best[has, i[has] - 1] = look(s[has, i[has] - 1], one[has])
+        count = (done >= 0).sum(1)
+        odd = (done == -1).any(1)  # characters without a piece
+        for k, row in enumerate(done.tolist()):
+            if not odd[k]:
+                out[rows[k]] = tuple(row[: count[k]])
 
     def _viterbi(self, word: str) -> list[int]:
         best: list[tuple[float, int, list[int]] | None] = [(0.0, 0, [])] + [None] * len(word)
@@ -281,13 +385,13 @@ def encode_words(words: DataFrame, model: Model, col: str = "word") -> DataFrame
 def frequent_words(docs: DataFrame, model: Model, text_col: str = "text", limit: int = VOCABULARY, chars: int = WORD_CHARS) -> DataFrame:
     """(word, count) of the words that occur at least as often as leaves no more than `limit` of them; counted over all
     texts. The cut is found from the number of words by count, without sorting the words."""
-    if model.chunk.pattern.startswith("(?s)"):
+    if not model.spaced:
         return docs.sparkSession.createDataFrame([], "word string, count long")
-    escaped = F.concat(F.lit(SPACE if model.dummy_prefix else ""), F.replace(F.col(text_col), F.lit(" "), F.lit(SPACE)))
-    ends = "".join(model.breaks)
-    at = f"(?<=[^{SPACE}])(?={SPACE})" + (f"|(?<=[{ends}])|(?=[{ends}])" if ends else "")
-    words = docs.select(F.explode(F.split(escaped, at)).alias("word")).where(F.length("word").between(1, chars))
-    counts = cut(words.groupBy("word").count().where("count > 1"))
+    # words as workers meet them first: what stands between spaces, without line ends
+    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("word")).where(F.length("word").between(1, chars - 1))
+    for c in model.breaks:
+        words = words.where(~F.contains("word", F.lit(c)))
+    counts = cut(words.groupBy("word").count().where("count > 1").select(F.concat(F.lit(SPACE), "word").alias("word"), "count"))
     total, least = 0, None
     for n, m in sorted(((r["count"], r["m"]) for r in counts.groupBy(F.least("count", F.lit(4096)).alias("count")).agg(F.count("*").alias("m")).collect()), reverse=True):
         if total + m > limit:
@@ -312,17 +416,16 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: di
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, *rest = shared.value
-        m, cache = Model(*rest), {}
+        m = Model(*rest)
+        to_ids = m.encoder(words)
         for df in frames:
             for i in range(0, len(df), OUT_ROWS):
                 part = df.iloc[i : i + OUT_ROWS].copy()
-                all_ids, texts = [], []
-                for text in part[text_col]:
-                    ids = m.encode_text(text, words, cache) if isinstance(text, str) else []
-                    all_ids.append(np.array(ids, np.int32))
-                    texts.append(m.decode(ids))
+                all_ids = to_ids([t if isinstance(t, str) else "" for t in part[text_col]])
+                texts = [m.decode(ids) for ids in all_ids]
+                all_ids = [np.frombuffer(array("i", ids), np.int32) for ids in all_ids]
                 yield part.assign(ids=all_ids, decoded=texts)
-        del words, m, cache
+        del words, m, to_ids
         trim()
 
     from pyspark.sql import types as T
