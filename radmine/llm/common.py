@@ -62,6 +62,15 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(wide, [*on, "_salt"], how).drop("_salt")
 
 
+def frugal(spark: SparkSession) -> None:
+    """Small Arrow batches for rows that hold whole texts, unless the session asks for others: the default of 10,000 rows or
+    64 MB a batch, held by the JVM and by each Python worker at once, leaves little of a small executor."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 def trim() -> None:
     """Give a Python worker's freed memory back to the system (workers live on and serve other stages)."""
     import ctypes

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 #: Bounds of training: documents of a language in the sample (expected), n-grams of a language, filter rows (2**), hashes.
 SAMPLE_DOCS, GRAMS, LOG_ROWS, HASHES = 3000, 20000, 20, 3
@@ -126,6 +126,7 @@ def fold(id_col: Column) -> Column:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, n_grams: int = GRAMS) -> Model:
     """Fit on rows with text and language: about sample_docs whole texts of each language, chosen by a hash of the id,
     and of them the n_grams most frequent n-grams (ties by code) that are not RATIO times rarer than elsewhere. What reaches the driver is bounded by languages * n_grams."""
+    frugal(docs.sparkSession)
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     langs = [r["lang"] for r in sizes]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import frugal, stored, table
 
 PACKET, SYNC, UNIT = 188, 0x47, 576
 PAT_PID, PMT_PID, ES_PID, NULL_PID = 0, 0x1000, 0x101, 0x1FFF
@@ -208,6 +208,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The payload is the text as UTF-8 (null: empty) and bytes 255 up to a positive multiple of 576. Null ids stay null,
     repeated rows repeat, an empty table gives an empty one; other columns are not read.
     """
+    frugal(docs.sparkSession)
     media = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data")).mapInPandas(_mux_frames, "doc_id long, n_bytes long, media binary")
     return stored(media, "media", compression="zstd", **{"parquet.block.size": str(16 << 20)})
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_small, stored, table, trim
+from .common import components, cut, frugal, join_small, stored, table, trim
 from .shingles import mix, shingle_arrays
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id and text are one document. Null ids: class_id is the smallest known id of their class, or null; such a
     row is kept if its class has no known id. Empty tables give no rows; other columns are not read.
     """
+    frugal(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), _row_id(docs, id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     signed = stored(own.select("rid", "text").mapInPandas(_sign(width, weights, bands, rows), "rid long, c binary, n long, bands array<long>"), "signatures")
     classes = stored(signed.groupBy("c").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, trim
+from .common import cut, frugal, table, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -406,6 +406,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: di
     Null texts have no ids and decode to an empty text, as empty ones do. U+2581 in a text decodes to a space, as the
     format has it. Lone surrogates are spelt in bytes. Other columns and repeated rows stay as they are.
     """
+    frugal(docs.sparkSession)
     known = vocabulary
     if known is None:
         found = encode_words(frequent_words(docs, model, text_col), model).toPandas()

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of this vocabulary.
@@ -182,6 +182,7 @@ def count_edited(docs: DataFrame, edits: str = "edits", text_col: str = "text",
     def frame(rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_tokens_edited", "n_encoded", "n_pretokens"]).astype({"doc_id": "Int64"})
 
+    frugal(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(edits).alias("edits"))
     return cols.mapInPandas(run, "doc_id long, n_tokens long, n_tokens_edited long, n_encoded long, n_pretokens long")
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, shared_dir, table
+from .common import cut, frugal, join_small, shared_dir, table
 
 # Field layouts of the two ARC versions.
 ARC_FIELDS = {
@@ -192,6 +192,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "20200101000000", mi
     payload. Null or empty url: urn:none; white space in one is escaped. Only (digest, page_id) is grouped; the bodies
     aren't shuffled while the table of repeated payloads is small enough to broadcast (counted), and salted beyond.
     """
+    frugal(pages.sparkSession)
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
     large = p.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     leaders = cut(large.where("n > 1 and first is not null").drop("n"))
