@@ -149,10 +149,16 @@ def pair_candidates(facts: DataFrame, pairs: DataFrame, min_count: int = 3, min_
 def fused(facts: DataFrame, edges: DataFrame, pairs: DataFrame, topk: int = 10, per_fact: int = 5, min_count: int = 3) -> DataFrame:
     """Candidates of each record: the best of each finding fact in fact order, then those of its pairs; of equal (target,
     assertion) the first counts; ranked by score."""
-    f = facts.where("section = 'finding'").withColumn("query_id", F.struct("record_id", "bucket_ord", "pos"))
-    asked = F.when(F.coalesce("raw_assertion", F.lit("")) != "", F.col("assertion"))
-    one = candidates(f.where("head <> ''").select("query_id", "head", asked.alias("assertion"), "record_id"), edges, no_acute(facts), min_count=min_count, topk=per_fact)
-    one = one.select("query_id.record_id", F.struct(F.lit(0).alias("late"), F.col("query_id.bucket_ord").alias("b"), F.col("query_id.pos").alias("p"), F.col("rank").alias("r")).alias("o"), *CANDIDATE, "score")
+    f = facts.where("section = 'finding' and head <> ''")
+    f = f.join(no_acute(facts).select("record_id", F.lit(True).alias("fired")), "record_id", "left")
+    f = f.select("record_id", "bucket_ord", "pos", F.struct("head", F.when(F.coalesce("raw_assertion", F.lit("")) != "", F.col("assertion")).alias("assertion"), F.coalesce("fired", F.lit(False)).alias("fired")).alias("query_id"))
+    # candidates depend on head, assertion and rule only: each such case is ranked once, however many facts ask for it
+    cases = f.select("query_id").distinct().select("query_id", "query_id.head", "query_id.assertion", F.col("query_id.fired").cast("string").alias("record_id"))
+    rule = cases.select("record_id").where("record_id = 'true'").distinct()
+    best = candidates(cases, edges, rule, min_count=min_count, topk=per_fact)
+    key = F.to_json("query_id").alias("key")
+    one = f.select("record_id", "bucket_ord", "pos", key).join(best.select(key, "rank", *CANDIDATE, "score"), "key")
+    one = one.select("record_id", F.struct(F.lit(0).alias("late"), F.col("bucket_ord").alias("b"), F.col("pos").alias("p"), F.col("rank").alias("r")).alias("o"), *CANDIDATE, "score")
     two = pair_candidates(facts, pairs, min_count=min_count).select("record_id", F.struct(F.lit(1).alias("late"), F.lit(0).alias("b"), F.lit(0).alias("p"), F.col("rank").alias("r")).alias("o"), *CANDIDATE, "score")
     every = one.unionByName(two)
     first = every.groupBy("record_id", "target_head", "target_assertion").agg(F.min_by(F.struct("o", "source_assertion", "source_section", "count", "confidence", "score"), "o").alias("x"))

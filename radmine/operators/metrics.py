@@ -41,7 +41,8 @@ def matches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 def record_metrics(predicted: DataFrame, gold: DataFrame, records: DataFrame) -> DataFrame:
     """Per row of records (record_id): the F1 of each level and location_error_rate. An empty side has precision or recall
     1: both empty is 1, one empty 0."""
-    m = matches(predicted, gold).groupBy("record_id").pivot("level", list(LEVELS)).agg(F.first("tp").alias("tp"), F.first("n_pred").alias("p"), F.first("n_gold").alias("g"))
+    of = lambda v, c, to: F.sum(F.when(F.col("level") == v, F.col(c))).alias(f"{v}_{to}")
+    m = matches(predicted, gold).groupBy("record_id").agg(*[of(v, c, to) for v in LEVELS for c, to in (("tp", "tp"), ("n_pred", "p"), ("n_gold", "g"))])
     x = records.join(m, "record_id", "left").fillna(0)
 
     def f1(level: str):

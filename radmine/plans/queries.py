@@ -77,12 +77,12 @@ def no_acute_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir).persist()
     return knowledge.pair_candidates(f, knowledge.pair_table(f)).withColumn("supporting_pairs", F.array_join("supporting_pairs", ";"))
 
 
 def candidates_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir).persist()  # read for edges, pairs, the rule and both kinds of candidates
     return knowledge.fused(f, knowledge.edge_table(f), knowledge.pair_table(f))
 
 
@@ -113,17 +113,17 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir).persist()
     return metrics.knowledge_recall(metrics.knowledge_ranks(f, knowledge.edge_table(f)))
 
 
 def knowledge_recall_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir).persist()
     return metrics.knowledge_recall(metrics.knowledge_ranks(f, knowledge.edge_table(f)), compat=True)
 
 
 def knowledge_by_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir).persist()
     return metrics.knowledge_by_head(metrics.knowledge_ranks(f, knowledge.edge_table(f)))
 
 
@@ -145,7 +145,7 @@ def inject_catch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, small: bool) -> DataFrame:
-    f = facts(spark, sf_dir)
+    f = facts(spark, sf_dir).persist()
     keys = lambda s: metrics.fact_keys(f.where(F.col("section") == s), small)
     return metrics.record_metrics(keys("finding"), keys("impression"), f.select("record_id").distinct())
 
