@@ -119,8 +119,9 @@ def jaccard(a: tuple, b: tuple) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _row_id(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("row"), F.col(text_col)))
+def row_id(id_col: Column, text: Column) -> Column:
+    """Key of a row: its id and a hash of its text, so that null and repeated ids don't mix up different texts."""
+    return F.concat_ws(":", id_col.cast("string"), F.hex(F.xxhash64(text)))
 
 
 def _sign(width: int, weights: str, bands: int, rows: int):
@@ -203,18 +204,11 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row (id, class_id, kept) per input row: classes are the components of links with (weighted) Jaccard similarity
-    of `width`-word shingles >= threshold; class_id is the smallest id of a class, kept says id = class_id.
-
-    weights: 'set' (every shingle weighs 1) or 'count' (its occurrences). A pair at 0.8 is missed by all 32 bands of 5
-    with probability 3e-6. Null, empty and wordless texts link with nothing: their class is their own id. Rows that
-    repeat an id and text are one document. Null ids: class_id is the smallest known id of their class, or null; such a
-    row is kept if its class has no known id. Empty tables give no rows; other columns are not read.
-    """
+def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, weights: str, bands: int, rows: int) -> DataFrame:
+    """(rid, id, class_id, kept), one row per input row: see near_duplicates."""
     frugal(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), _row_id(docs, id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    signed = stored(own.select("rid", "text").mapInPandas(_sign(width, weights, bands, rows), "rid long, c binary, n long, bands array<long>"), "signatures")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), row_id(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    signed = stored(own.select("rid", "text").mapInPandas(_sign(width, weights, bands, rows), "rid string, c binary, n long, bands array<long>"), "signatures")
     classes = stored(signed.groupBy("c").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select(F.explode("bands").alias("band"), "c", "n")
     sizes = buckets.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
@@ -257,8 +251,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_of = own.select("id", "rid").join(signed.select("rid", "c").distinct().join(of_class, "c"), "rid", "left")
     known = cut(rows_of)
     smallest = known.where("component is not null").groupBy("component").agg(F.min("id").alias("class_id"))
-    out = known.join(smallest, "component", "left").select("id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = known.join(smallest, "component", "left").select("rid", "id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, weights: str = "set", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row (id, class_id, kept) per input row: classes are the components of links with (weighted) Jaccard similarity
+    of `width`-word shingles >= threshold; class_id is the smallest id of a class, kept says id = class_id.
+
+    weights: 'set' (every shingle weighs 1) or 'count' (its occurrences). A pair at 0.8 is missed by all 32 bands of 5
+    with probability 3e-6. Null, empty and wordless texts link with nothing: their class is their own id. Rows that
+    repeat an id and text are one document; other texts of an id are classed by themselves. Null ids: class_id is the smallest known id of their class, or null; such a
+    row is kept if its class has no known id. Empty tables give no rows; other columns are not read.
+    """
+    out = classified(docs, id_col, text_col, threshold, width, weights, bands, rows)
+    return out.select(F.col("id").alias(id_col), "class_id", "kept")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +273,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class stays."""
-    gone = cut(near_duplicates(docs.select("doc_id", "text")).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return join_small(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
+    """The document with the smallest id of each class stays; of a class without ids all."""
+    found = classified(docs.select("doc_id", "text"), "doc_id", "text", THRESHOLD, WIDTH, "set", BANDS, ROWS)
+    gone = cut(found.where("not kept").select(F.col("rid").alias("_rid")).distinct())
+    return join_small(docs.withColumn("_rid", row_id(F.col("doc_id"), F.col("text"))), gone, ["_rid"], "left_anti").select(docs.columns)

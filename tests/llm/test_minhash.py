@@ -87,10 +87,10 @@ def test_against_brute_force(spark, weights):
 
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
-    rows = [(1, None), (2, ""), (3, ""), (4, "..."), (5, "..."), (6, "One two"), (7, "one, two!"), (8, long), (9, long + " end"), (9, long + " end"), (None, "one two"), (None, "alone here now"), (None, None)]
+    rows = [(1, None), (2, ""), (3, ""), (4, "..."), (5, "..."), (6, "One two"), (7, "one, two!"), (8, long), (9, long + " end"), (9, long + " end"), (None, "one two"), (None, "alone here now"), (None, None), (12, "one two"), (12, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=str)
-    want = [(i, i, True) for i in (1, 2, 3, 4, 5, 6, 8)] + [(7, 6, False), (9, 8, False), (9, 8, False), (None, 6, False), (None, None, True), (None, None, True)]
+    want = [(i, i, True) for i in (1, 2, 3, 4, 5, 6, 8)] + [(7, 6, False), (9, 8, False), (9, 8, False), (None, 6, False), (None, None, True), (None, None, True), (12, 6, False), (12, 8, False)]
     assert got == sorted(want, key=str)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
