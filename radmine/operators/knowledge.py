@@ -130,14 +130,25 @@ def candidates(queries: DataFrame, edges: DataFrame, fired: DataFrame | None = N
     return (out.where(F.col("rank") <= topk) if topk else out).drop("o", "r")
 
 
-def pair_candidates(facts: DataFrame, pairs: DataFrame, min_count: int = 3, min_confidence: float = 0.0, topk: int = 5) -> DataFrame:
+def pair_candidates(facts: DataFrame, pairs: DataFrame, min_count: int = 3, min_confidence: float = 0.0, topk: int = 5, legacy: DataFrame | None = None) -> DataFrame:
     """Candidates of each record's finding pairs: record_id, CANDIDATE, score, n_pairs, supporting_pairs, rank. Counts and
-    confidences are those of the best pair, scores add up."""
+    confidences are those of the best pair, scores add up.
+
+    legacy: a table keyed by heads only (left_head < right_head, then target and counts as in pairs), for the pairs of
+    which `pairs` has no row.
+    """
     f = facts.where("section = 'finding' and head <> ''")
     items = f.groupBy("record_id").agg(F.array_sort(F.collect_set(F.struct("assertion", "head"))).alias("items"), F.count("*").alias("n")).where("n > 1")
     p = items.select("record_id", F.explode(_pairs(F.col("items"))).alias("p")).select("record_id", F.col("p.l.assertion").alias("left_assertion"), F.col("p.l.head").alias("left_head"), F.col("p.r.assertion").alias("right_assertion"), F.col("p.r.head").alias("right_head"))
     good = pairs.where((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence))
-    hit = p.join(good, ["left_assertion", "left_head", "right_assertion", "right_head"])
+    key = ["left_assertion", "left_head", "right_assertion", "right_head"]
+    hit = p.join(good, key)
+    if legacy is not None:
+        old = legacy.where((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence)).withColumnsRenamed({"left_head": "a", "right_head": "b"})
+        missing = p.join(pairs.select(*key).distinct(), key, "left_anti")
+        more = missing.join(old, (F.least("left_head", "right_head") == F.col("a")) & (F.greatest("left_head", "right_head") == F.col("b")))
+        columns = ["record_id", *key, "target_head", "target_assertion", "count", "confidence"]
+        hit = hit.select(*columns).unionByName(more.select(*columns))
     name = F.concat_ws(" + ", F.concat_ws("|", "left_assertion", "left_head"), F.concat_ws("|", "right_assertion", "right_head"))
     # whole millionths add up alike in any order
     g = hit.groupBy("record_id", "target_head", "target_assertion").agg(F.max("count").alias("count"), F.max("confidence").alias("confidence"), F.sum((score(F.col("confidence"), F.col("count")) * 1e6).cast("decimal(20,0)")).alias("s"), F.count("*").alias("n_pairs"), F.array_sort(F.collect_list(name)).alias("supporting_pairs"))

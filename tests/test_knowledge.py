@@ -54,6 +54,15 @@ def test_pair_candidates(spark_session):
     assert [r.supporting_pairs for r in got] == [["present|delta + present|epsilon"]] * 2
 
 
+def test_pairs_of_older_tables(spark_session):
+    f = pair_corpus(spark_session)
+    pairs = knowledge.pair_table(f, min_pair_count=1).where("left_head <> 'alpha'")
+    old = spark_session.createDataFrame([("alpha", "beta", "edema", "present", 7, 0.5), ("delta", "epsilon", "never", "present", 9, 0.9)], "left_head string, right_head string, target_head string, target_assertion string, count long, confidence double")
+    got = knowledge.pair_candidates(f.where("record_id = '4'"), pairs, min_count=1, topk=9, legacy=old).collect()
+    assert {r.target_head for r in got} == {"pneumonia", "edema"}
+    assert [r.supporting_pairs for r in got if r.target_head == "edema"] == [["present|alpha + present|beta"]]
+
+
 def fired(spark, finding):
     return [r.evidence for r in knowledge.no_acute(facts_of(spark, record("1", finding, None))).collect()]
 
