@@ -33,9 +33,9 @@ def edge_table(facts: DataFrame) -> DataFrame:
     e = source.select(F.col("head").alias("source_head"), F.col("assertion").alias("source_assertion"), "section", F.explode("suggestive_of").alias("e"))
     target = norm.head(F.coalesce(F.nullif(F.col("e.finding"), F.lit("")), F.col("e.head")))
     e = e.select("source_head", "source_assertion", "section", target.alias("target_head"), norm.assertion(F.col("e.assertion")).alias("target_assertion")).where("target_head <> ''")
-    n = e.groupBy("source_head", "source_assertion", "target_head", "target_assertion").agg(F.count("*").alias("count"), F.min("section").alias("lo"), F.max("section").alias("hi"))
+    n = e.groupBy("source_head", "source_assertion", "target_head", "target_assertion").agg(F.count("*").alias("count"), F.count_if(F.col("section") == "finding").alias("n_finding"))
     rank = F.row_number().over(W.partitionBy("source_head").orderBy(F.desc("count"), "target_head", "target_assertion", "source_assertion"))
-    return n.join(total, "source_head").select("source_head", "source_assertion", "target_head", "target_assertion", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("both").alias("source_section"), "count", (F.col("count") / F.col("total")).alias("confidence"), rank.alias("rank"))
+    return n.join(total, "source_head").select("source_head", "source_assertion", "target_head", "target_assertion", F.when(F.col("n_finding") == F.col("count"), "finding").when(F.col("n_finding") == 0, "impression").otherwise("both").alias("source_section"), "count", (F.col("count") / F.col("total")).alias("confidence"), rank.alias("rank"))
 
 
 def edge_stats(edges: DataFrame, top: int = 10) -> DataFrame:
