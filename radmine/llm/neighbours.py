@@ -3,8 +3,9 @@
 A neighbour graph is started from vectors with equal sign patterns of random projections, then refined: the neighbours of
 a vector's neighbours meet in a local join and the closest are kept. A sample of vectors is compared with all rows
 (blocks of a matrix product) to audit the recall of links; lists are enlarged and refinement goes on until the audit is
-passed. Lists full of links are saturated: the links beyond them are found by enlarging them to the whole component, in
-blocks, exactly. Edges at or above the threshold are kept, in double precision.
+passed. Lists are bounded and the audit is a sample, so neither decides what is linked: at the end all vectors are compared
+in blocks, exactly, and components with a link between them are united. Links beyond a list are counted by enlarging it to
+the whole component, in blocks, exactly. Edges at or above the threshold are kept, in double precision.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, join_small, stored, table
 
 THRESHOLD, K, TABLES, BITS, AUDIT, RECALL, MAX_ROUNDS, BLOCK = 0.9, 6, 6, 12, 256, 0.999, 6, 256
+#: Bytes of vectors in a block that is compared with all other blocks.
+PACK = 1 << 20
 #: Angles up to half the threshold's lie between any vector of a core and its centre: members of a core all link.
 _EDGE = "a long, b long, cos double"
 
@@ -155,6 +158,60 @@ def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     return edges, group, scores
 
 
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, size, components, x) of (id, v, component): up to PACK bytes of vectors of one length, in order of component."""
+
+    def block(rows: list[tuple]) -> tuple:
+        rows = sorted(rows, key=lambda r: r[2])
+        return rows[0][0], len(rows[0][1]), np.array([r[2] for r in rows], np.int64).tobytes(), b"".join(r[1] for r in rows)
+
+    names, held = ["block", "size", "components", "x"], {}
+    for df in frames:
+        for row in zip(df["id"], df["v"], df["component"], strict=True):
+            rows = held.setdefault(len(row[1]), [])
+            rows.append(row)
+            if len(rows) * len(row[1]) >= PACK:
+                yield pd.DataFrame([block(held.pop(len(row[1])))], columns=names)
+    for rows in held.values():
+        yield pd.DataFrame([block(rows)], columns=names)
+
+
+def _between(threshold: float):
+    """(a, b): the pairs of components with a link between two blocks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for size, ca, xa, cb, xb in zip(df["size"], df["ca"], df["xa"], df["cb"], df["xb"], strict=True):
+                (a, i), (b, j) = (np.unique(np.frombuffer(c, np.int64), return_index=True) for c in (ca, cb))
+                if len(a) == len(b) == 1 and a[0] == b[0]:
+                    continue
+                x, y = (np.frombuffer(m, np.float64).reshape(-1, size // 8) for m in (xa, xb))
+                link = np.logical_or.reduceat(np.logical_or.reduceat(x @ y.T >= threshold, i, axis=0), j, axis=1)
+                p, q = np.nonzero(link)
+                other = a[p] != b[q]
+                yield pd.DataFrame({"a": a[p[other]], "b": b[q[other]]})
+
+    return run
+
+
+def united(vectors: DataFrame, group: DataFrame, threshold: float) -> DataFrame:
+    """group (node, component) with components united that have any link between them, exactly: every vector is compared
+    with all of its length in blocks of a matrix product. Vectors that no list links are components of their own."""
+    placed = vectors.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    n_blocks = vectors.agg(F.ceil(F.sum(F.length("v")) / PACK)).first()[0] or 1
+    blocks = stored(placed.select("id", "v", "component").repartition(n_blocks).mapInPandas(_packed, "block long, size int, components binary, x binary"), "blocks")
+    a, b = (blocks.select(F.col("block").alias(f"i{n}"), F.col("size").alias(f"size{n}"), F.col("components").alias(f"c{n}"), F.col("x").alias(f"x{n}")) for n in "ab")
+    # each pair of blocks once, in an order by hash: tasks on either side of the diagonal have the same work
+    once = (F.col("ia") == F.col("ib")) | ((F.col("ia") < F.col("ib")) == (F.pmod(F.xxhash64(F.least("ia", "ib"), F.greatest("ia", "ib")), F.lit(2)) == 0))
+    pairs = a.crossJoin(b).where((F.col("sizea") == F.col("sizeb")) & once)
+    links = cut(pairs.select(F.col("sizea").alias("size"), "ca", "xa", "cb", "xb").mapInPandas(_between(threshold), "a long, b long").distinct())
+    if links.isEmpty():
+        return group
+    joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = joined.select(F.col("component").alias("node"), "component").join(group, "node", "left_anti")
+    return cut(group.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def _count_blocks(threshold: float):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, x, n = left["id"].to_numpy(), _matrix(left["v"]), np.zeros(len(left), np.int64)
@@ -220,6 +277,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     vectors = stored(unit_vectors(rows, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     classes = stored(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vector-classes")
     _, group, _ = neighbour_graph(classes.select("id", "v"), threshold, **options)
+    group = united(classes.select("id", "v"), group, threshold)
     counts = link_counts(classes, group, threshold)
     of_class = classes.select(F.col("id").alias("c"), "v", F.col("n").alias("copies")).join(group.withColumnRenamed("node", "c"), "c", "left").join(counts.withColumnsRenamed({"id": "c", "n": "others"}), "c", "left")
     of_class = of_class.select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component_id"))

@@ -52,3 +52,28 @@ def test_audit_reports_recall(spark):
     v = neighbours.unit_vectors(df, "vec_id", "embedding")
     edges, _, recall = neighbours.neighbour_graph(v)
     assert recall[-1] >= 0.999 and edges.where("cos >= 0.9").count() >= 120
+
+
+def test_groups_with_full_lists_are_linked(spark):
+    rng, rows = np.random.default_rng(5), []
+    near = lambda base, cos: cos * base + np.sqrt(1 - cos**2) * (lambda x: x / np.linalg.norm(x))((x := rng.standard_normal(64)) - (x @ base) * base)
+    for _ in range(4):
+        first = near(np.eye(64)[0], 0.0)
+        for centre in (first, near(first, 0.93)):
+            rows += [near(centre, 0.998).tolist() for _ in range(130)]
+    vectors = dict(enumerate(rows))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in run(spark, [(i, v, 1, "x") for i, v in vectors.items()], max_rounds=2)}
+    assert got == brute(vectors)
+
+
+def test_pairs_beside_a_large_group_are_linked(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x)
+    base = unit(rng.standard_normal(64))
+    rows = [unit(base + 0.02 * rng.standard_normal(64)) for _ in range(600)]
+    for _ in range(300):
+        x = unit(rng.standard_normal(64))
+        rows += [x, 0.92 * x + np.sqrt(1 - 0.92**2) * unit((y := rng.standard_normal(64)) - (y @ x) * x)]
+    vectors = {i: v.tolist() for i, v in enumerate(rows)}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in run(spark, [(i, v, 1, "x") for i, v in vectors.items()])}
+    assert got == brute(vectors)
