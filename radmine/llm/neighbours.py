@@ -133,7 +133,8 @@ def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     """(edges (a, b, cos) of the lists, components (node, component) of its links, audited recall by round).
 
     Recall: the share of the audited vectors' links whose ends are in one component (a link outside every list still
-    counts if its ends are connected: saturated lists are completed within components)."""
+    counts if its ends are connected: saturated lists are completed within components). It weighs links, not vectors, so it
+    says little of small groups beside a large one; `united` finds what is left."""
     truth = cut(_audit(vectors, threshold, audit))
     n_true = truth.count()
     edges = cut(_closest(_grouped(_parts(_start(vectors, tables, bits, 1)), k), k))
