@@ -1,9 +1,8 @@
-"""Deletion of repeated runs of lines by winnowing over line hashes (DataFrame functions only).
+"""Deletion of repeated runs of lines by hashes of all windows of lines (DataFrame functions only).
 
-The non-blank lines of a document are hashed. Of every window of `window` consecutive lines the smallest hash is its
-fingerprint, so any shared run of that many lines is guaranteed to share one. Occurrences of a fingerprint are matched
-through the windows that it stands for (fingerprint and window hash: 128 bits): a window stretches the match to the left
-and right of its fingerprint, and overlapping matched windows unite to the whole shared run. All but the first occurrence
+The non-blank lines of a document are hashed. Every window of `window` consecutive lines is a key of its smallest line hash
+and its own hash; none is left out as in winnowing, so any shared run of that many lines shares its windows, and
+overlapping matched windows unite to the whole shared run. All but the first occurrence
 of a window, in document order, are deleted. Only (fingerprint, window) keys are aggregated and joined: no pairs of
 occurrences are made, whatever the number of copies.
 """
