@@ -12,37 +12,66 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Copies of a small-but-not-broadcast table in a salted join.
 SALTS = 32
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *columns: str) -> str:
+    """A column name like `name` that none of `columns` has (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where neither
+    is set, a local session gets a folder of its own; on a cluster that is an error, since machines don't see each other's."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         current = sc.getCheckpointDir()
     return current
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; release() removes what was written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables and archives that this process has written to the shared folder; results read from them lazily must
+    have been written elsewhere before. Returns how many paths were there."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
     sc = df.sparkSession.sparkContext
+    path = shared_dir(df.sparkSession)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+        sc.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back; columns keep their types."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,8 +87,9 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
         return big.join(F.broadcast(small), on, how)
     if salt is None:
         return big.join(small, on, how)
-    wide = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(wide, [*on, "_salt"], how).drop("_salt")
+    extra = fresh("salt", *big.columns, *small.columns)
+    wide = small.withColumn(extra, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn(extra, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(wide, [*on, extra], how).drop(extra)
 
 
 def frugal(spark: SparkSession) -> None:

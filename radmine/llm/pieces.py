@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Words (with their spaces written as U+2581) explode into their substrings of bounded length, an equi-join to the piece
-table turns these into lattice edges, edges are grouped by word and a higher-order aggregate folds them into the best
-segmentation: Viterbi for unigram models; for BPE models, whose scores are merge ranks rather than log-probabilities,
-merging the best-ranked neighbouring edges, which is what such a model defines.
-
-Texts are long sequences of mostly few words. The lattice is built relationally for the corpus's most frequent words, a
-table bounded by VOCABULARY rows, which workers then hold; other words are folded in the worker by the same rules.
-Neither texts nor word occurrences are shuffled.
+Texts (with their spaces written as U+2581) are cut where no piece of the model spans two neighbouring characters, so no
+merge and no best path crosses a cut. The distinct units between cuts explode into their substrings of bounded length, an
+equi-join to the piece table turns these into lattice edges, edges are grouped by unit and a higher-order aggregate folds
+them into the unit's pieces: Viterbi for unigram models; for BPE models, whose scores are merge ranks rather than
+log-probabilities, merging the best-ranked neighbouring edges, which is what such a model defines.
+
+Every distinct unit of the corpus goes through the lattice once. Workers put the pieces of each text together: from a
+packed dictionary of the units met in most tasks, broadcast up to DICTIONARY units, and, where there are more, from the
+text's own other units, joined back by a digest of the text. Word occurrences are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,21 +16,24 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, frugal, table, trim
+from .common import fresh, frugal, stored, table, trim
+from .shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Bounds of the relational table: rows, and characters of a word; entries of a worker's cache.
-VOCABULARY, WORD_CHARS, CACHE, OUT_ROWS = 1 << 16, 24, 300_000, 256
+#: Units that the workers' dictionary holds (about 24 bytes each); characters of a unit that is folded relationally (longer
+#: ones, whose fold takes the square of their length, are folded by a heap); units a task of the lattice; rows of a batch.
+DICTIONARY, UNIT_CHARS, LATTICE_ROWS, OUT_ROWS = 1 << 22, 64, 16_384, 256
+#: Characters that are worked on at once; units that a worker remembers to have reported.
+BLOCK, SEEN = 1 << 18, 1 << 20
 # Kinds of pieces and algorithms in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 ALGORITHMS = {1: "unigram", 2: "bpe"}
@@ -69,7 +73,7 @@ class Model:
     algorithm: str = "unigram"
     dummy_prefix: bool = True
     ids: dict[str, tuple[int, float]] = field(default_factory=dict)
-    _table: tuple | None = None
+    _cutter: tuple | None = None
 
     def __post_init__(self) -> None:
         self.ids = {p: (i, s) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
@@ -79,14 +83,8 @@ class Model:
         self.unknown = next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.lowest = min((s for _, s in self.ids.values()), default=0.0) - 10
-        across = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.chunk = re.compile(r"(?s).+" if across else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.spaced = not across and self.dummy_prefix
-        # no piece spans these places, so no merge or best path does: texts may be cut there
-        inside = {c for p in self.ids if len(p) > 1 for c in p}
-        self.breaks = [c for c in "\n\r\t" if c not in inside]
+        # no piece spans other neighbours, so no merge and no best path does: texts may be cut there
         self.neighbours = {pair for p in self.ids for pair in zip(p, p[1:])}  # noqa: B905
-        self.closing = {c for c in ".,;:!?)\"'" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids)}
         self.shown = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(SPACE, " ") for p, _, kind in self.pieces]
 
     @classmethod
@@ -112,145 +110,58 @@ class Model:
         """Ids of a character without a piece: its bytes, or the unknown piece."""
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
 
-    def encode_word(self, word: str) -> list[int]:
-        if self.algorithm == "unigram":
-            return self._viterbi(word)
-        return self._merge(word) if len(word) > 48 else self._merge_short(word)
-
-    def cuts(self, word: str) -> list[str]:
-        """Parts of a word that can be encoded by themselves: at line ends, before a closing mark after a letter, and
-        between neighbours that no piece has next to each other."""
-        for c in self.breaks:
-            if c in word:
-                a, _, b = word.partition(c)
-                return [x for x in (a, c, b) if x]
-        if len(word) > 2 and word[-1] in self.closing and word[-2].isalpha():
-            return [word[:-1], word[-1]]
-        met, start, parts = self.neighbours, 0, []
-        for i, pair in enumerate(zip(word, word[1:]), 1):  # noqa: B905
-            if pair not in met:
-                parts.append(word[start:i])
-                start = i
-        parts.append(word[start:])
-        return parts
-
-    def encoder(self, known: dict[str, tuple[int, ...]]):
-        """texts -> ids of each. known: ids of frequent words, spaces being U+2581; other words and parts go to caches of bounded size."""
-        cache: dict[str, tuple[int, ...]] = {}
-        bare = {w[1:]: ids for w, ids in known.items() if w[0] == SPACE}  # of words after one space, as texts have them
-        more: dict[str, tuple[int, ...]] = {}
-
-        def keep(where: dict, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-            if len(word) < 100:
-                if len(where) >= CACHE:
-                    where.clear()
-                where[word] = ids
-            return ids
-
-        def slow(word: str) -> tuple[int, ...]:
-            got = known.get(word) or cache.get(word)
-            if got is not None:
-                return got
-            parts = self.cuts(word)
-            if len(parts) == 1:
-                return keep(cache, word, tuple(self.encode_word(word)))
-            return tuple([i for p in parts for i in slow(p)])
-
-        def plain(text: str) -> bool:
-            return bool(self.spaced and text and "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ")
-
-        def run(texts: list[str]) -> list[list[int]]:
-            split = [t.split(" ") if plain(t) else None for t in texts]
-            new = [w for w in {w for words in split if words for w in words} if w not in bare and w not in more]
-            if len(more) + len(new) > CACHE:
-                more.clear()
-                new = [w for w in {w for words in split if words for w in words} if w not in bare]
-            more.update(zip(new, self.encode_many([SPACE + w for w in new]), strict=True))
-            get, again, results = bare.get, more.get, []
-            for text, words in zip(texts, split, strict=True):
-                out: list[int] = []
-                extend = out.extend
-                for w in words or ():
-                    extend(get(w) or again(w))
-                if words is None:
-                    for w in self.chunk.findall(self.escape(text)):
-                        extend(slow(w))
-                results.append(out)
-            return results
-
-        return run
+    def blocks(self, texts: list[str]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+        """(first text, characters, starts, owners): the units of these texts, some BLOCK characters at a time. A unit goes
+        from its start to the next one's, and belongs to text first + owner. A longer text comes in several pieces."""
+        if self._cutter is None:
+            kinds = np.zeros(0x110000, np.uint16)
+            inner = sorted({c for pair in self.neighbours for c in pair})
+            kinds[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+            joined = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+            for a, b in self.neighbours:
+                joined[kinds[ord(a)], kinds[ord(b)]] = True
+            self._cutter = kinds, joined
+        kinds, joined = self._cutter
+
+        def block(first: int, parts: list[str]) -> tuple[int, str, np.ndarray, np.ndarray]:
+            chars = "".join(parts)
+            kind = kinds[np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            ends = np.cumsum([len(p) for p in parts])
+            start = np.ones(len(chars), bool)
+            start[1:] = ~joined[kind[:-1], kind[1:]]
+            start[ends[:-1][ends[:-1] < len(chars)]] = True
+            starts = np.flatnonzero(start)
+            return first, chars, starts, np.searchsorted(ends, starts, side="right")
+
+        held, size, first = [], 0, 0
+        for i, text in enumerate(texts):
+            s = self.escape(text)
+            if held and size + len(s) > BLOCK:
+                yield block(first, held)
+                held, size = [], 0
+            first = first if held else i
+            if len(s) <= BLOCK:
+                held.append(s)
+                size += len(s)
+                continue
+            a = 0
+            while a < len(s):
+                b = end = min(len(s), a + BLOCK)
+                while b < len(s) and (s[b - 1], s[b]) in self.neighbours:
+                    b -= 1
+                    if b == a:  # a unit of more than a block
+                        b = end
+                        while b < len(s) and (s[b - 1], s[b]) in self.neighbours:
+                            b += 1
+                        break
+                yield block(i, [s[a:b]])
+                a = b
+        if held:
+            yield block(first, held)
 
-    def encode_many(self, words: list[str]) -> list[tuple[int, ...]]:
-        """encode_word of each, many at once where merges are looked up in arrays: words of like lengths form a matrix of
-        symbols, and each step merges the best-ranked neighbours of every row, the first of equals."""
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        if self.algorithm == "bpe":
-            for low, high in ((1, 6), (6, 10), (10, 16), (16, 48)):
-                rows = [i for i, w in enumerate(words) if low < len(w) <= high]
-                for at in range(0, len(rows), 4096):
-                    self._merge_rows(words, rows[at : at + 4096], high, out)
-        return [tuple(self.encode_word(w)) if o is None else o for w, o in zip(words, out, strict=True)]
-
-    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of the pairs of pieces that merge, with the merged pieces' ranks and ids; ids of characters."""
-        if self._table is None:
-            found = []
-            for p, (i, s) in self.ids.items():
-                for cut in range(1, len(p)):
-                    a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
-                    if a and b:
-                        found.append((a[0] << 32 | b[0], -s, i))
-            found.sort()
-            chars = np.full(0x110000, -1, np.int64)
-            for p, (i, _) in self.ids.items():
-                if len(p) == 1:
-                    chars[ord(p)] = i
-            self._table = (np.array([x[0] for x in found] + [1 << 62]), np.array([x[1] for x in found] + [np.inf]), np.array([x[2] for x in found] + [-1]), chars)
-        return self._table
-
-    def _merge_rows(self, words: list[str], rows: list[int], width: int, out: list) -> None:
-        if not rows:
-            return
-        keys, ranks, merged, chars = self._pairs()
-
-        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Index of each pair, the last one for none."""
-            key = np.where((a < 0) | (b < 0), 0, a << 32 | b)
-            at = np.searchsorted(keys, key)
-            return np.where(keys[at] == key, at, len(keys) - 1)
-
-        sizes = np.array([len(words[i]) for i in rows])
-        codes = np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        cells = np.arange(width) < sizes[:, None]
-        s = np.full((len(rows), width + 1), -2, np.int64)
-        s[:, :width][cells] = chars[codes]
-        left, steps = np.arange(len(rows)), np.arange(width + 1)
-        best = look(s[:, :-1], s[:, 1:])
-        done = np.empty_like(s)
-        while len(left):
-            cost = ranks[best]
-            i = cost.argmin(1)
-            live = np.isfinite(cost[np.arange(len(i)), i])
-            done[left[~live]] = s[~live]
-            s, best, left, i = s[live], best[live], left[live], i[live]
-            if not len(left):
-                break
-            r = np.arange(len(left))
-            one = merged[best[r, i]]
-            shift = np.minimum(steps + (steps > i[:, None]), width)
-            s = np.take_along_axis(s, shift, 1)
-            s[:, -1] = -2
-            s[r, i] = one
-            best = np.take_along_axis(best, np.minimum(shift[:, :-1], width - 1), 1)
-            best[:, -1] = len(keys) - 1
-            best[r, i] = look(one, s[r, i + 1])
-            has = np.flatnonzero(i > 0)
-            best[has, i[has] - 1] = look(s[has, i[has] - 1], one[has])
-        count = (done >= 0).sum(1)
-        odd = (done == -1).any(1)  # characters without a piece
-        for k, row in enumerate(done.tolist()):
-            if not odd[k]:
-                out[rows[k]] = tuple(row[: count[k]])
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one unit (or several: the result is the same), without a lattice."""
+        return self._viterbi(word) if self.algorithm == "unigram" else self._merge(word)
 
     def _viterbi(self, word: str) -> list[int]:
         best: list[tuple[float, int, list[int]] | None] = [(0.0, 0, [])] + [None] * len(word)
@@ -266,25 +177,6 @@ class Model:
             e = best[e][1]
         return [i for part in reversed(out) for i in part]
 
-    def _merge_short(self, word: str) -> list[int]:
-        """_merge without a queue: the smallest of a few numbers is found faster than it is kept."""
-        rank, none = self.ranks.get, float("inf")
-        parts = list(word)
-        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
-            if i < len(ranks):
-                ranks[i] = rank(parts[i] + parts[i + 1], none)
-        ids = self.ids
-        return [i for p in parts for i in ((ids[p][0],) if p in ids else self.fallback(p))]
-
     def _merge(self, word: str) -> list[int]:
         n, ids = len(word), self.ids
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts here
@@ -315,124 +207,302 @@ class Model:
             s = end[s]
         return out
 
+    def decoder(self):
+        """ids of many texts, one after another, and their numbers -> texts. Byte pieces are joined to UTF-8 (wrong sequences
+        become U+FFFD), control pieces are silent."""
+        spelt = [self.byte_of[i] if i in self.byte_of else s.encode("utf-8", "surrogatepass") for i, s in enumerate(self.shown)]
+        size = np.array([len(b) for b in spelt], np.int64)
+        at, data = np.cumsum(size) - size, np.frombuffer(b"".join(spelt), np.uint8)
+
+        def run(ids: np.ndarray, counts: np.ndarray) -> list[str]:
+            n = size[ids]
+            out = data[_ranges(at[ids], n)].tobytes()
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
+            texts = [out[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            return [t[1:] if self.dummy_prefix and t.startswith(" ") else t for t in texts]
+
+        return run
+
     def decode(self, ids: list[int]) -> str:
-        """Text of ids; byte pieces are joined to UTF-8 (wrong sequences become U+FFFD), control pieces are silent."""
-        if self.byte_of.keys().isdisjoint(ids):
-            text = "".join([self.shown[i] for i in ids])
-            return text[1:] if self.dummy_prefix and text.startswith(" ") else text
-        out, raw = [], []
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(b"".join(raw).decode("utf-8", "replace"))
-                raw = []
-            out.append(self.shown[i])
-        if raw:
-            out.append(b"".join(raw).decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.decoder()(np.array(ids, np.int64), np.array([len(ids)]))[0]
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] numbers), and so on."""
+    total = int(counts.sum())
+    return np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = []
+
+
+def unit_hashes(chars: str, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the units that go from each start to the next (the last one to the end)."""
+    x = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(x)
+    if not _powers or len(_powers[0]) < n:
+        one = np.ones(1, np.uint64)
+        _powers[:] = [np.multiply.accumulate(np.concatenate([one, np.full(max(n, BLOCK), base)])) for base in (_BASE, _INVERSE)]
+    x += np.uint64(1)
+    x *= _powers[0][:n]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return mix((sums[np.append(starts[1:], n)] - sums[starts]) * _powers[1][starts])
+
+
+@dataclass
+class Dictionary:
+    """Ids of units by hash: sorted hashes, their places in ids, and how many each has."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    ids: np.ndarray
+    index: np.ndarray
+
+    @classmethod
+    def pack(cls, parts: list[tuple[bytes, bytes, bytes]]) -> Dictionary:
+        """From (hashes, counts, ids) of disjoint sets of units."""
+        join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
+        keys, count, ids = join(0, np.uint64), join(1, np.int32), join(2, np.int32)
+        order = np.argsort(keys, kind="stable")
+        first = np.cumsum(count, dtype=np.int64) - count
+        keys = keys[order]
+        # where the keys with each value of the topmost bits begin: about one key a value
+        bits = max(1, len(keys).bit_length())
+        index = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        return cls(keys, first[order].astype(np.int64 if len(ids) >> 31 else np.int32), count[order], ids, np.append(index, len(keys)).astype(np.int32))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that aren't there."""
+        top = (keys >> np.uint64(65 - len(self.index).bit_length())).astype(np.int64)
+        at, end, found = self.index[top], self.index[top + 1], np.full(len(keys), -1)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.keys[at[live]] == keys[live]
+            found[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return found
+
+
+def _encoder(m: Model, words: Dictionary):
+    """(texts, own units of each) -> (ids of all, number of ids of each text)."""
+
+    def run(texts: list[str], own: list[dict | None]) -> tuple[np.ndarray, np.ndarray]:
+        out, counts = [], np.zeros(len(texts), np.int64)
+        for first, chars, starts, owners in m.blocks(texts):
+            at = words.find(unit_hashes(chars, starts))
+            n = np.where(at >= 0, words.count[at] if len(words.keys) else 0, 0).astype(np.int64)
+            missing = np.flatnonzero(at < 0)
+            if len(missing):
+                ends = np.append(starts[1:], len(chars))
+                found = [own[first + owners[i]][chars[starts[i] : ends[i]]] for i in missing]
+                n[missing] = [len(f) for f in found]
+            place = np.cumsum(n) - n
+            ids = np.zeros(int(n.sum()), np.int32)
+            known = at >= 0
+            ids[_ranges(place[known], n[known])] = words.ids[_ranges(words.first[at[known]].astype(np.int64), n[known])]
+            for k, i in enumerate(missing):
+                ids[place[i] : place[i] + n[i]] = found[k]
+            out.append(ids)
+            counts += np.bincount(owners + first, weights=n, minlength=len(texts)).astype(np.int64)
+        return (np.concatenate(out) if out else np.zeros(0, np.int32)), counts
+
+    return run
+
+
+def text_units(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(unit, n): the distinct units of all texts, and how often workers reported them, which is once for each task (or for
+    each SEEN other units of it): a measure of how widespread a unit is."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.pieces, model.algorithm, model.dummy_prefix))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, seen = Model(*shared.value), np.zeros(0, np.uint64)
+        for df in frames:
+            for _, chars, starts, _ in m.blocks([t for t in df["text"] if isinstance(t, str)]):
+                keys, at = np.unique(unit_hashes(chars, starts), return_index=True)
+                if len(seen):
+                    is_new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
+                    keys, at = keys[is_new], at[is_new]
+                ends = np.append(starts[1:], len(chars))
+                if len(at):
+                    yield pd.DataFrame({"unit": [chars[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]})
+                seen = keys if len(seen) + len(keys) > SEEN else np.sort(np.concatenate([seen, keys]))
+        trim()
+
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "unit string").groupBy("unit").agg(F.count("*").alias("n"))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: expressions are trees, and lambdas and merged projections repeat their parts."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def encode_words(words: DataFrame, model: Model, col: str = "word") -> DataFrame:
-    """(word, ids): distinct words, with spaces as U+2581, by the relational lattice (DataFrame functions only).
+    """(word, ids): distinct words of up to UNIT_CHARS characters, with spaces as U+2581, by the relational lattice
+    (DataFrame functions only). The other columns are dropped; words must be distinct.
 
     The piece table, of model size, is broadcast. Every character has an edge: its piece, else a fallback one (id null)
     that is spelt out at the end. Null and empty words give no row.
     """
     spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.ids.items()], "sub string, id int, score double")
-    w = words.select(F.col(col).alias("word")).where(F.length("word") > 0).distinct()
-    span = F.flatten(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - s)), lambda n: F.struct(s.alias("s"), (s + n).alias("e"), F.substring(F.col("word"), s + 1, n).alias("sub")))))
-    spans = w.select("word", F.explode(span).alias("x")).select("word", "x.s", "x.e", "x.sub")
-    edges = spans.join(F.broadcast(pieces), "sub", "left").where((F.col("id").isNotNull()) | (F.col("e") - F.col("s") == 1))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("e", "s", F.coalesce("score", F.lit(model.lowest)).alias("score"), "id"))).alias("edges"))
+    order = {s: k for k, s in enumerate(sorted({s for _, s in model.ids.values()}, reverse=True))}
+    pieces = spark.createDataFrame([(p, i, float(s), order[s]) for p, (i, s) in model.ids.items()], "sub string, id int, score double, nth long")
+    w = words.select(F.col(col).alias("word")).where(F.length("word").between(1, UNIT_CHARS))
     n = F.length("word")
+    starts = w.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
+    spans = spans.select("word", "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("sub"))
+    edges = spans.join(F.broadcast(pieces), "sub", "left").where((F.col("id").isNotNull()) | (F.col("e") - F.col("s") == 1))
+    place = lambda s, e: s * (2 * UNIT_CHARS) + e
     if model.algorithm == "unigram":
-        # state: for each end, the best score and path up to it
-        start = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, F.lit(0.0)).alias("score"), F.expr("cast(array() as array<struct<s:int,e:int,id:int>>)").alias("path")))
+        edge = F.struct("e", "s", F.coalesce("score", F.lit(model.lowest)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+        lattice = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+        # state: for each end up to now, the best score and the path there (start, id)
+        start = F.array(F.struct(F.lit(0.0).alias("score"), F.expr("cast(array() as array<struct<s:int,e:int,id:int>>)").alias("path")))
 
-        def step(state, x):
-            score = F.get(state, x["s"])["score"] + x["score"]
-            better = F.get(state, x["e"])["score"].isNull() | (score > F.get(state, x["e"])["score"])
-            path = F.concat(F.get(state, x["s"])["path"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))))
-            return F.when(better, F.transform(state, lambda y, i: F.when(i == x["e"], F.struct(score.alias("score"), path.alias("path"))).otherwise(y))).otherwise(state)
+        def step(state, e):
+            ways = F.transform(F.filter("edges", lambda x: x["e"] == e), lambda x: F.struct((F.get(state, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("s"), x["id"].alias("id")))
+            grow = lambda b: F.struct(b["score"].alias("score"), F.concat(F.get(state, -b["s"])["path"], F.array(F.struct((-b["s"]).alias("s"), e.alias("e"), b["id"].alias("id")))).alias("path"))
+            return F.concat(state, F.transform(F.array(F.array_max(ways)), grow))
 
-        found = F.aggregate("edges", start, step, lambda state: F.get(state, F.size(state) - 1)["path"])
+        path = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: F.get(state, n)["path"])
     else:
-        # state: the symbols so far; each step merges the best-ranked neighbours, the first of equals
-        found_edges = F.filter("edges", lambda x: x["id"].isNotNull() & (x["e"] - x["s"] > 1))
-        lattice = lattice.withColumn("merges", F.map_from_entries(F.transform(found_edges, lambda x: F.struct((x["s"] * 65536 + x["e"]).alias("k"), F.struct(x["score"].alias("score"), x["id"].alias("id")).alias("v")))))
-        start = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] == 1), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id")))
-
-        def step(state, _):
-            offers = F.transform(F.slice(state, F.lit(1), F.size(state) - 1), lambda x, i: F.struct(F.try_element_at("merges", x["s"] * 65536 + F.get(state, i + 1)["e"]).alias("v"), (-x["s"]).alias("s"), F.get(state, i + 1)["e"].alias("e")))
-            best = F.array_max(F.transform(F.filter(offers, lambda x: x["v"].isNotNull()), lambda x: F.struct(x["v"]["score"].alias("score"), x["s"].alias("s"), x["e"].alias("e"), x["v"]["id"].alias("id"))))
-            merged = F.transform(F.filter(state, lambda x: x["e"] != best["e"]), lambda x: F.when(x["s"] == -best["s"], F.struct(x["s"].alias("s"), best["e"].alias("e"), best["id"].alias("id"))).otherwise(x))
-            return F.when((F.size(state) < 2) | best.isNull(), state).otherwise(merged)
-
-        found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), start, step)
+        k = place(F.col("s"), F.col("e")).alias("k")
+        merges = F.collect_list(F.when(F.col("id").isNotNull() & (F.col("e") - F.col("s") > 1), F.struct(k, "nth")))
+        lattice = edges.groupBy("word").agg(merges.alias("merges"), F.collect_list(F.struct(k, F.coalesce("id", F.lit(-1)).alias("id"))).alias("spans"))
+
+        def bounds(nth):
+            # state: where symbols begin, and the end; each step merges the best-ranked neighbours, the first of equals
+            def step(state, _):
+                offers = F.transform(F.slice(state, F.lit(1), F.greatest(F.size(state) - 2, F.lit(0))), lambda s, i: F.try_element_at(nth, place(s, F.get(state, i + 2))) * UNIT_CHARS + i)
+                return _once(F.array_min(offers), lambda best: F.when(best.isNull(), state).otherwise(F.filter(state, lambda s, i: i != best % UNIT_CHARS + 1)))
+
+            return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+
+        def symbols(at, id_of):
+            end = lambda i: F.get(at, i + 1)
+            return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda s, i: F.struct(s.alias("s"), end(i).alias("e"), F.try_element_at(id_of, place(s, end(i))).alias("id")))
+
+        found = _once(F.map_from_entries("merges"), bounds)
+        path = _once(found, lambda at: _once(F.map_from_entries("spans"), lambda id_of: symbols(at, id_of)))
     if len(model.bytes) == 256:
         table_of = F.array(*[F.lit(model.bytes[b]) for b in range(256)])
         spelt = lambda sub: F.transform(F.filter(F.split(F.regexp_replace(F.hex(sub.cast("binary")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.get(table_of, F.conv(h, 16, 10).cast("int")))
     else:
         spelt = lambda sub: F.array(F.lit(model.unknown))
-    ids = F.flatten(F.transform("path", lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(spelt(F.substring(F.col("word"), x["s"] + 1, x["e"] - x["s"])))))
-    return lattice.select("word", found.alias("path")).select("word", ids.alias("ids"))
-
-
-def frequent_words(docs: DataFrame, model: Model, text_col: str = "text", limit: int = VOCABULARY, chars: int = WORD_CHARS) -> DataFrame:
-    """(word, count) of the words that occur at least as often as leaves no more than `limit` of them; counted over all
-    texts. The cut is found from the number of words by count, without sorting the words."""
-    if not model.spaced:
-        return docs.sparkSession.createDataFrame([], "word string, count long")
-    # words as workers meet them first: what stands between spaces, without line ends
-    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("word")).where(F.length("word").between(1, chars - 1))
-    for c in model.breaks:
-        words = words.where(~F.contains("word", F.lit(c)))
-    counts = cut(words.groupBy("word").count().where("count > 1").select(F.concat(F.lit(SPACE), "word").alias("word"), "count"))
-    total, least = 0, None
-    for n, m in sorted(((r["count"], r["m"]) for r in counts.groupBy(F.least("count", F.lit(4096)).alias("count")).agg(F.count("*").alias("m")).collect()), reverse=True):
-        if total + m > limit:
-            break
-        total, least = total + m, n
-    return counts.where(F.col("count") >= least) if least else counts.where("false")
-
-
-def encode(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: dict[str, list[int]] | None = None) -> DataFrame:
+
+    def ids(path):
+        each = F.transform(path, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spelt(F.substring(F.col("word"), x["s"] + 1, x["e"] - x["s"]))))
+        return F.when(F.exists(path, lambda x: x["id"] < 0), F.flatten(each)).otherwise(F.transform(path, lambda x: x["id"]))
+
+    return lattice.select("word", _once(path, ids).alias("ids"))
+
+
+def unit_table(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """(unit, n), (unit, ids) and their number, stored: all distinct units, through the lattice but for those of more than
+    UNIT_CHARS characters."""
+    spark = docs.sparkSession
+    units = stored(text_units(docs, model, text_col), "units")
+    total = units.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // LATTICE_ROWS))
+    found = encode_words(units.repartition(tasks, "unit"), model, "unit").withColumnRenamed("word", "unit")
+    shared = spark.sparkContext.broadcast((model.pieces, model.algorithm, model.dummy_prefix))
+
+    def long_ones(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Model(*shared.value)
+        for df in frames:
+            for unit in df["unit"]:
+                yield pd.DataFrame({"unit": [unit], "ids": [np.array(m.encode_word(unit), np.int32)]})
+
+    rest = units.where(F.length("unit") > UNIT_CHARS).select("unit").mapInPandas(long_ones, "unit string, ids array<int>")
+    return units, stored(found.unionByName(rest), "unit-ids"), total
+
+
+def dictionary(units: DataFrame, coded: DataFrame, total: int, limit: int = DICTIONARY) -> tuple[Dictionary, DataFrame | None]:
+    """(the most widespread units, packed; the others' (unit, ids), or None if all are in). About `limit` units at most:
+    whole classes of like n, and of the class that exceeds it the share that fits, by hash."""
+    chosen = None
+    if total > limit:
+        level, held, least, share = F.floor(F.log2("n")).cast("int"), 0, 64, 0.0
+        for r in units.groupBy(level.alias("level")).agg(F.count("*").alias("m")).orderBy(F.desc("level")).collect():
+            least, share = r["level"], min(1.0, 0.98 * (limit - held) / r["m"])
+            if held + r["m"] > limit:
+                break
+            held += r["m"]
+        chosen = (level > least) | ((level == least) & (F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < share * (1 << 20)))
+        coded = coded.join(units, "unit")
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            names = list(df["unit"])
+            starts = np.cumsum([0, *(len(u) for u in names)])
+            keys = unit_hashes("".join(names), starts[:-1]) if names else np.zeros(0, np.uint64)
+            ids = [np.asarray(x, np.int32) for x in df["ids"]]
+            yield pd.DataFrame([(keys.tobytes(), np.array([len(x) for x in ids], np.int32).tobytes(), b"".join(x.tobytes() for x in ids))], columns=["keys", "counts", "ids"])
+
+    parts = (coded if chosen is None else coded.where(chosen)).select("unit", "ids").mapInPandas(pack, "keys binary, counts binary, ids binary").collect()
+    words = Dictionary.pack([(bytes(r["keys"]), bytes(r["counts"]), bytes(r["ids"])) for r in parts])
+    if len(words.keys) > 1 and (words.keys[1:] == words.keys[:-1]).any():
+        raise RuntimeError("two units have one hash")  # of 4 million: once in 2 million runs
+    return words, None if chosen is None else coded.where(~chosen).select("unit", "ids")
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", limit: int = DICTIONARY) -> DataFrame:
     """docs with ids (array<int>) and decoded (the text back from the ids), which replace columns of these names.
 
     Null texts have no ids and decode to an empty text, as empty ones do. U+2581 in a text decodes to a space, as the
-    format has it. Lone surrogates are spelt in bytes. Other columns and repeated rows stay as they are.
+    format has it. Lone surrogates are spelt in bytes. Very long texts are worked on in blocks. Other columns and repeated
+    rows stay as they are; an empty table gives an empty one. limit bounds the units that are broadcast, not the result.
     """
-    frugal(docs.sparkSession)
-    known = vocabulary
-    if known is None:
-        found = encode_words(frequent_words(docs, model, text_col), model).toPandas()
-        known = {w: tuple(map(int, i)) for w, i in zip(found["word"], found["ids"], strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast((known, model.pieces, model.algorithm, model.dummy_prefix))
+    spark = docs.sparkSession
+    frugal(spark)
     base = docs.drop("ids", "decoded")
     names = base.columns
+    words, others = dictionary(*unit_table(base, model, text_col), limit)
+    shared = spark.sparkContext.broadcast((words, model.pieces, model.algorithm, model.dummy_prefix))
+    own = fresh("own", *names)
+    if others is not None:
+        key = fresh("key", *names)
+
+        def lacking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, *rest = shared.value
+            m = Model(*rest)
+            for df in frames:
+                texts, keys = list(df["text"]), list(df["key"])
+                for first, chars, starts, owners in m.blocks(texts):
+                    at = np.flatnonzero(known.find(unit_hashes(chars, starts)) < 0)
+                    ends = np.append(starts[1:], len(chars))
+                    pairs = {(keys[first + owners[i]], chars[starts[i] : ends[i]]) for i in at}
+                    if pairs:
+                        yield pd.DataFrame(list(pairs), columns=["key", "unit"])
+
+        digest = F.md5(F.col(text_col).cast("binary"))
+        wanted = base.where(F.col(text_col).isNotNull()).select(digest.alias("key"), F.col(text_col).alias("text")).mapInPandas(lacking, "key string, unit string").distinct()
+        extra = wanted.join(others, "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(own)).withColumnRenamed("key", key)
+        base = base.withColumn(key, digest).join(extra, key, "left").select(*names, own)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, *rest = shared.value
+        known, *rest = shared.value
         m = Model(*rest)
-        to_ids = m.encoder(words)
+        to_ids, to_texts = _encoder(m, known), m.decoder()
         for df in frames:
             for i in range(0, len(df), OUT_ROWS):
-                part = df.iloc[i : i + OUT_ROWS].copy()
-                all_ids = to_ids([t if isinstance(t, str) else "" for t in part[text_col]])
-                texts = [m.decode(ids) for ids in all_ids]
-                all_ids = [np.frombuffer(array("i", ids), np.int32) for ids in all_ids]
-                yield part.assign(ids=all_ids, decoded=texts)
-        del words, m, to_ids
+                part = df.iloc[i : i + OUT_ROWS]
+                extra = [None if x is None else {u["unit"]: u["ids"] for u in x} for x in part[own]] if own in part else [None] * len(part)
+                ids, counts = to_ids([t if isinstance(t, str) else "" for t in part[text_col]], extra)
+                ends = np.cumsum(counts)
+                yield part[names].assign(ids=np.split(ids, ends[:-1]) if len(part) else [], decoded=to_texts(ids, counts))
+        del known, m, to_ids, to_texts
         trim()
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return base.mapInPandas(run, schema).select(*names, "ids", "decoded")
+    schema = T.StructType([*base.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return base.mapInPandas(run, schema)
 
 
 def digests(encoded: DataFrame, text_col: str = "text") -> DataFrame:
@@ -451,5 +521,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the ids of each document."""
+    """doc_id, lang, source, the ids of each document, and whether they decode to its text (null texts: to an empty one).
+    One row per row, repeated ones too; an empty table gives an empty one."""
     return encode(docs.select("doc_id", "lang", "source", "text"), Model.load()).select("doc_id", "lang", "source", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

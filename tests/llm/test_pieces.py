@@ -1,7 +1,9 @@
 import itertools
 import os
 import random
+import re
 
+import numpy as np
 import pytest
 
 from radmine.llm import pieces
@@ -23,15 +25,40 @@ def texts():
 def test_like_the_library(spark, model):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     every = texts() + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    encode = model.encoder({})
-    for t, ids in zip(every, encode(every), strict=True):
-        assert ids == sp.encode(t)
-        assert model.decode(ids) == sp.decode(ids)
-
-
-def test_lattice_like_the_workers(spark, model):
-    words = {w for t in texts() for w in model.chunk.findall(model.escape(t)) if len(w) <= 24}
-    df = spark.createDataFrame([(w,) for w in words] + [(None,), ("",), ("▁the",)], "word string")
+    df = spark.createDataFrame(list(enumerate(every)), "i int, text string")
+    whole, most = ({r.i: (r.ids, r.decoded) for r in pieces.encode(df, model, limit=n).collect()} for n in (pieces.DICTIONARY, 500))
+    assert most == whole  # the units that are joined back from the lattice's table, and those that are broadcast
+    for i, t in enumerate(every):
+        assert whole[i] == (sp.encode(t), sp.decode(sp.encode(t)))
+        assert model.encode_word(model.escape(t)) == whole[i][0]
+
+
+def test_blocks(model, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 50)
+    every = texts()
+    cut = ["" for _ in every]
+    for first, chars, starts, owners in model.blocks(every):
+        for i, a, b in zip(owners, starts, [*starts[1:], len(chars)], strict=True):
+            unit = chars[a:b]
+            assert all(pair in model.neighbours for pair in itertools.pairwise(unit))
+            cut[first + i] += unit
+    assert cut == [model.escape(t) for t in every]
+
+
+def test_dictionary(model):
+    units = ["▁the", "a", "bc", "▁"]
+    starts = np.cumsum([0, *map(len, units)])[:-1]
+    keys = pieces.unit_hashes("".join(units), starts)
+    assert [pieces.unit_hashes(u, np.zeros(1, np.int64))[0] for u in units] == list(keys)
+    ids = [[1], [], [2, 3], [4]]
+    d = pieces.Dictionary.pack([(keys.tobytes(), np.array([len(i) for i in ids], np.int32).tobytes(), np.array(sum(ids, []), np.int32).tobytes())])
+    at = d.find(np.append(keys, np.uint64(7)))
+    assert [d.ids[d.first[i] : d.first[i] + d.count[i]].tolist() for i in at[:4]] == ids and at[4] == -1
+
+
+def test_lattice_like_a_heap_and_viterbi(spark, model):
+    words = {w for t in texts() for w in re.findall("▁*[^▁]+|▁+", model.escape(t)) if len(w) <= pieces.UNIT_CHARS}
+    df = spark.createDataFrame([(w,) for w in words | {"▁the"}] + [(None,), ("",), ("a" * 100,)], "word string")
     for m in (model, pieces.Model(model.pieces, "unigram")):
         got = {r.word: list(r.ids) for r in pieces.encode_words(df, m).collect()}
         assert got == {w: m.encode_word(w) for w in words | {"▁the"}}
@@ -50,27 +77,13 @@ def test_viterbi_is_best():
             assert "".join(spelt).replace("<unk>", "c") == word
 
 
-def test_merges_with_and_without_queue(model):
-    rnd = random.Random(9)
-    for _ in range(500):
-        word = "▁" + "".join(rnd.choice("etaoinshr.") for _ in range(rnd.randint(1, 40)))
-        assert model._merge(word) == model._merge_short(word) == list(model.encode_many([word, "x"])[0])
-
-
-def test_frequent_words_are_bounded(spark, model):
-    docs = spark.createDataFrame([("a a a b b c c d",), (None,), ("a\nb",)], "text string")
-    found = lambda n: {r.word: r["count"] for r in pieces.frequent_words(docs, model, limit=n).collect()}
-    assert found(10) == {"▁a": 3, "▁b": 2, "▁c": 2}
-    assert found(2) == {"▁a": 3} and found(0) == {}
-
-
 def test_round_trip_and_edges(spark, model):
-    rows = [(1, None), (2, ""), (3, "Hello  world \n"), (3, "Hello  world \n"), (None, "word " * 50_000 + "é")]
+    rows = [(1, None), (2, ""), (3, "Hello  world \n"), (3, "Hello  world \n"), (None, "word " * 50_000 + "é"), (4, "ab" * 30_000)]
     df = spark.createDataFrame([(*r, "old", 5) for r in rows], "doc_id long, text string, decoded string, ids int")
     out = pieces.encode(df, model)
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     got = out.collect()
-    assert len(got) == 5 and all(r.decoded == (r.text or "") for r in got)
+    assert len(got) == 6 and all(r.decoded == (r.text or "") for r in got)
     assert [r.n_pieces for r in pieces.digests(out).collect() if r.doc_id in (1, 2)] == [0, 0]
     assert pieces.encode(df.limit(0), model).count() == 0
     assert model.decode([1, 72, 2]) == "E" or model.decode([1, 2]) == ""
