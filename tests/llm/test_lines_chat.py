@@ -1,18 +1,17 @@
 import hashlib
 import random
-import re
 
 from radmine.llm import chat, lines
 
 
-def brute(docs, window=2, min_words=50):
+def brute(docs, window=2, min_chars=30):
     """docs: [(id, text)] in order; -> {id: kept text}"""
     seen, gone = set(), {i: set() for i, _ in docs}
     split = {i: (t or "").split("\n") for i, t in docs}
     for i, _ in docs:
         full = [k for k, x in enumerate(split[i]) if x.strip(" ")]
         units = [tuple(full[a : a + window]) for a in range(len(full) - window + 1)]
-        units += [(k,) for k in full if len(re.findall(r"[^\x20\x09-\x0D]+", split[i][k])) >= min_words]
+        units += [(k,) for k in full if len(split[i][k].strip(" ")) >= min_chars]
         for u in sorted(units):
             key = (len(u), *(split[i][k].strip(" ") for k in u))
             if key in seen:
@@ -22,7 +21,7 @@ def brute(docs, window=2, min_words=50):
 
 
 def run(spark, rows, **options):
-    df = spark.createDataFrame(rows, "doc_id long, text string, removed string, h long, a string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string, kd long, gone string")
     return lines.dedup_lines(df, **options)
 
 
@@ -31,6 +30,7 @@ def test_against_brute_force(spark):
     for window in (2, 3):
         docs = [(i, "\n".join(rnd.choice(["a", "b ", "c", "", "d d", "e"]) for _ in range(rnd.randint(0, 9)))) for i in range(60)]
         docs += [(60 + i, "x\n" + "long line " * 30 + f"\n{i}") for i in range(3)]
+        docs += [(70 + i, f"{i}\nall rights reserved by the owners of this page\nother {i}\na\nb") for i in range(3)]
         got = {r.doc_id: r.text for r in run(spark, [(i, t, "z", 1, "q") for i, t in docs], window=window).collect()}
         assert got == brute(docs, window)
 
@@ -39,12 +39,19 @@ def test_edges(spark):
     long = "\n".join(f"line {i}" for i in range(20_000))
     rows = [(1, None), (2, ""), (3, "a\nb"), (3, "a\nb"), (4, "b\na\nb\nc"), (None, "a\nb"), (None, "a\nb\nz"), (5, "a\n\n b\n"), (6, long), (7, long + "\nend"), (8, "\n \n")]
     out = run(spark, [(i, t, "old", 5, "q") for i, t in rows])
-    assert set(out.columns) == {"doc_id", "text", "h", "a", "removed", "n_lines"}
+    assert set(out.columns) == {"doc_id", "text", "kd", "gone", "removed", "n_lines"}
     got = sorted(((r.doc_id if r.doc_id is not None else 99, r.text, r.n_lines) for r in out.collect()), key=str)
     assert got == sorted([(1, None, 0), (2, "", 0), (3, "a\nb", 2), (3, "a\nb", 2), (4, "b\nc", 4), (5, "\n", 2), (6, long, 20_000), (7, "end", 20_001), (8, "\n \n", 0), (99, "", 2), (99, "z", 3)], key=str)
     assert run(spark, []).count() == 0
 
 
+def test_lone_lines_and_windows(spark):
+    rows = [(1, "x\nshort a\nshort b\ny"), (2, "z\nshort a\nq"), (3, "p\nshort a\nshort b\nr"), (4, "this line is long enough to count alone\nshort b")]
+    rows += [(5, "short b\nthis line is long enough to count alone\nshort a")]
+    got = {r.doc_id: r.removed for r in run(spark, [(i, t, "z", 1, "q") for i, t in rows]).collect()}
+    assert got == {1: [], 2: [], 3: [1, 2], 4: [], 5: [1]}
+
+
 def test_stage_drops_what_held_nothing_else(spark):
     df = spark.createDataFrame([(1, "a\nb", "en", "s", 3), (2, "a\nb", "en", "s", 3), (3, "a\nb\nc", "en", "s", 5), (4, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id, r.text, r.n_chars) for r in lines.stage(df).collect()) == [(1, "a\nb", 3), (3, "c", 1), (4, "", 0)]
