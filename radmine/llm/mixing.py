@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
-Every row gets a 60-bit hash of its id. Words are summed by source and hash bucket; the bucket in which a source's
+Every row gets a 60-bit hash of its id and text. Words are summed by source and hash bucket; the bucket in which a source's
 cumulative sum crosses its budget is the only one that is refined, by the next bits, until the crossing bucket holds one
 hash. Rows are then kept by comparing their hash with their source's threshold: no sort, one narrow table re-read per level.
 Thresholds of smaller budgets lie below those of larger ones, so mixes are nested.
@@ -23,29 +23,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(col: Column, seed: str = "") -> Column:
-    """60 bits of md5 of the id's text; a null id hashes as 'null'."""
-    text = F.coalesce(col.cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), text).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_hash(id_col: Column, text: Column, seed: str = "") -> Column:
+    """60 bits of md5 of the id and the text's md5; a null id counts as 'null', a null text as empty."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), digest).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """sizes: (src, source_size) per source, src null allowed. Adds `target`.
+    """sizes: (src, source_size) per source, src null allowed. Adds w and `target`.
 
     Weights repeat `cycle` over the sources in code point order, null last. The targets share the sum of all sizes by
     weight; a target stops at `cap` times its source's size and the excess is reshared by weight, which is the water
-    level L at which sum(min(cap * size, L * weight)) equals the sum. Rows are sources: one window over them.
+    level L at which sum(min(cap * size, L * weight)) equals the sum. Sources may be many (domains): they are numbered by
+    ranges, and the level is raised by one aggregate for each time that sources reach their cap. An empty table gives an
+    empty one.
     """
-    order = W.orderBy(F.col("src").isNull(), F.col("src"))
+    order = [F.col("src").isNull(), F.col("src")]
+    ranged = cut(sizes.repartitionByRange(*order).select("src", "source_size", F.spark_partition_id().alias("part")))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row per partition
+    offsets = cut(counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset")))
+    nth = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1 + F.col("offset")
     cyc = F.array(*[F.lit(float(x)) for x in cycle])
-    w = sizes.withColumn("w", F.element_at(cyc, ((F.row_number().over(order) - 1) % len(cycle) + 1).cast("int")))
-    w = w.withColumn("cap", F.col("source_size") * F.lit(float(cap)))
-    by_level = W.orderBy(F.col("cap") / F.col("w"), F.col("src").isNull(), F.col("src"))
-    before, after, everything = by_level.rowsBetween(W.unboundedPreceding, -1), by_level.rowsBetween(0, W.unboundedFollowing), W.partitionBy(F.lit(1))
-    w = w.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    # the first source in this order that stays below its cap gives the level; those after it would give lower ones
-    level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything)
-    return w.withColumn("level", level).select("src", "source_size", "w", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    w = ranged.join(F.broadcast(offsets), "part").select("src", "source_size", F.element_at(cyc, (nth % len(cycle) + 1).cast("int")).alias("w"))
+    w = cut(w.withColumn("cap", F.col("source_size") * F.lit(float(cap))))
+    total, level = w.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        capped = F.col("cap") < level * F.col("w")
+        held, free = w.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("w")))).first()
+        raised = (total - (held or 0.0)) / free if free else level
+        if raised <= level:
+            break
+        level = raised
+    return w.select("src", "source_size", "w", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
 def source_key(source: Column) -> Column:
@@ -55,7 +64,7 @@ def source_key(source: Column) -> Column:
 
 def measured(rows: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     """(id, src, key, size, h), checkpointed."""
-    return cut(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), source_key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col), seed).alias("h")))
+    return cut(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), source_key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col), seed).alias("h")))
 
 
 def thresholds(narrow: DataFrame, cap: float, cycle: tuple[int, ...]) -> tuple[DataFrame, int]:
@@ -96,8 +105,8 @@ def mix(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source whose target is q times its size gives floor(q) whole copies of every row, and one more of the rows whose
     hash is below its threshold; the crossing hash is in if that comes nearer to the target. `taken` = size * copies.
 
-    Null text: size 0. Null source: a source of its own, ordered last. Null ids and repeated rows with one id share a
-    hash: they are taken together. Sources without words: target 0, taken 0. Empty table: no rows. Other columns are
+    Null text: size 0. Null source: a source of its own, ordered last. Repeated rows (one id and text) share a hash: they
+    are taken together. Sources without words: target 0, taken 0. Empty table: no rows. Other columns are
     not read.
     """
     narrow = measured(rows, id_col, text_col, source_col, seed)
@@ -109,12 +118,13 @@ def mix(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def stage(docs: DataFrame, cap: float = 3.0, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Every row as many times as the mix takes it: rows are filtered and repeated by their source's threshold. In sources
-    without words every row stays once."""
+    without words every row stays once. Null ids, texts and sources as in mix(); repeated rows are taken together; an empty
+    table gives an empty one; columns keep their values, whatever their names."""
     final, n = thresholds(measured(docs, "doc_id", "text", "source", ""), cap, cycle)
-    own = docs.withColumns({"_key": source_key(F.col("source")), "_h": id_hash(F.col("doc_id"))})
-    out = join_small(own, final.select(F.col("key").alias("_key"), "source_size", "whole", "cut_at").withColumnsRenamed({"source_size": "_size", "whole": "_whole", "cut_at": "_cut"}), ["_key"], salt=F.col("_h"), rows=n)
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_whole") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)).cast("int")
-    return out.withColumn("_n", copies).where("_n > 0").withColumn("_nth", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source")).alias("key"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    out = join_small(own, final, ["key"], salt=F.col("h"), rows=n)
+    copies = F.when(F.col("source_size") == 0, 1).otherwise(F.col("whole") + F.when(F.col("h") < F.col("cut_at"), 1).otherwise(0)).cast("int")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +134,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
