@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import frugal, table
+from .common import cut, fresh, frugal, join_small, stored, table
 
 #: Bounds of training: documents of a language in the sample (expected), n-grams of a language, filter rows (2**), hashes.
 SAMPLE_DOCS, GRAMS, LOG_ROWS, HASHES = 3000, 20000, 20, 3
@@ -124,46 +124,54 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, n_grams: int = GRAMS) -> Model:
-    """Fit on rows with text and language: about sample_docs whole texts of each language, chosen by a hash of the id,
-    and of them the n_grams most frequent n-grams (ties by code) that are not RATIO times rarer than elsewhere. What reaches the driver is bounded by languages * n_grams."""
+    """Fit on rows with text and language: about sample_docs whole texts of each language, chosen by a hash of id and text,
+    and of them the up to n_grams most frequent n-grams that are not RATIO times rarer than elsewhere (of n-grams that are
+    equally frequent all or none are in). What reaches the driver is bounded by languages * n_grams.
+
+    Null ids count as an id, null texts and languages are left out, repeated rows are drawn together. An empty table gives a
+    model without languages. Languages are counted, joined and cut in aggregates, however many there are."""
     frugal(docs.sparkSession)
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
-    langs = [r["lang"] for r in sizes]
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))).otherwise(share)
-    index = {x: k for k, x in enumerate(langs)}
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)).alias("h")).where("text is not null and lang is not null")
+    sizes = cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count("*")).alias("share")))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for lang, texts in df.groupby("lang")["text"]:
                 for _, _, codes, _ in grams(list(texts)):
                     c, n = np.unique(codes, return_counts=True)
-                    yield pd.DataFrame({"lang": index[lang], "code": c.astype(np.int64), "n": n})
-
-    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30))
-    total = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    share_of = total.join(F.broadcast(total.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("share", F.col("n") / F.col("all"))
-    total = share_of.withColumn("most", F.max("share").over(W.partitionBy("code"))).where(F.col("share") >= RATIO * F.col("most"))
-    top = total.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("nth") <= n_grams).select("lang", "code").toPandas()
-    return Model.build(langs, top["lang"].to_numpy(np.int64), top["code"].to_numpy(np.int64))
+                    yield pd.DataFrame({"lang": lang, "code": c.astype(np.int64), "n": n})
+
+    picked = join_small(known, sizes, ["lang"], salt=F.col("h")).where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    total = cut(picked.select("lang", "text").mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    everything = cut(total.groupBy("lang").agg(F.sum("n").alias("all")))
+    shares = join_small(total, everything, ["lang"]).withColumn("share", F.col("n") / F.col("all"))
+    own = stored(shares.join(shares.groupBy("code").agg(F.max("share").alias("most")), "code").where(F.col("share") >= RATIO * F.col("most")).select("lang", "code", "n"), "n-grams")
+    # the least count that keeps no more than n_grams: from the numbers of n-grams by count
+    by_count = own.groupBy("lang", "n").agg(F.count("*").alias("m"))
+    upto = by_count.withColumn("upto", F.sum("m").over(W.partitionBy("lang").orderBy(F.desc("n"))))
+    least = cut(upto.where(F.col("upto") <= n_grams).groupBy("lang").agg(F.min("n").alias("least")))
+    top = join_small(own, least, ["lang"]).where(F.col("n") >= F.col("least")).select("lang", "code").toPandas()
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
+    index = {x: k for k, x in enumerate(langs)}
+    return Model.build(langs, top["lang"].map(index).to_numpy(np.int64), top["code"].to_numpy(np.int64))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (replacing columns of these names); 'und' with score 0 where the text is null or has no
-    letter, or nothing was learned. No other column is looked at. The filter (2**LOG_ROWS * 8 bytes a 64 languages) is
-    broadcast."""
+    letter, or nothing was learned. No other column is looked at. Ties go to the language that is first in code point order.
+    Very long texts are read whole, in blocks; repeated rows get equal values; an empty table gives an empty one. The filter
+    (2**LOG_ROWS * 8 bytes for each 64 languages) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     base = docs.drop("lang_pred", "score")
     cols = base.columns
+    found = fresh("found", *cols)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         lang, score = Model(**shared.value).predict([x if isinstance(x, str) else "" for x in text])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return base.withColumn("_p", predict(F.col(text_col))).select(*cols, "_p.lang_pred", "_p.score")
+    return base.withColumn(found, predict(F.col(text_col))).select(*cols, f"{found}.lang_pred", f"{found}.score")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -181,6 +189,7 @@ MIN_SCORE = 0.2
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents in a language that the filters know; null, letterless and unrecognizable texts go."""
-    out = identify(docs, fit(docs.select("doc_id", "text", "lang")))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    """Documents in a language that the filters know; null, letterless and unrecognizable texts go. Repeated rows stay
+    repeated, an empty table empty; columns keep their values, whatever their names."""
+    out = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), fit(docs.select("doc_id", "text", "lang")))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")

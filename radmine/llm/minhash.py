@@ -205,7 +205,7 @@ def _verify(threshold: float):
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, weights: str, bands: int, rows: int) -> DataFrame:
-    """(rid, id, class_id, kept), one row per input row: see near_duplicates."""
+    """(rid, id, component, class_id, kept), one row per input row: see near_duplicates; component is null where there are no words."""
     frugal(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), row_id(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     signed = stored(own.select("rid", "text").mapInPandas(_sign(width, weights, bands, rows), "rid string, c binary, n long, bands array<long>"), "signatures")
@@ -251,7 +251,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, wi
     rows_of = own.select("id", "rid").join(signed.select("rid", "c").distinct().join(of_class, "c"), "rid", "left")
     known = cut(rows_of)
     smallest = known.where("component is not null").groupBy("component").agg(F.min("id").alias("class_id"))
-    out = known.join(smallest, "component", "left").select("rid", "id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    out = known.join(smallest, "component", "left").select("rid", "id", "component", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id")))
 
 
@@ -273,7 +273,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class stays; of a class without ids all."""
+    """One row of each class of near-duplicates stays: of the smallest id (null ids last), then of the smallest hash of the
+    text, and of equal rows one. Null, empty and wordless texts are in no class and stay, repeated ones too. An empty table
+    gives an empty one; columns keep their values, whatever their names."""
     found = classified(docs.select("doc_id", "text"), "doc_id", "text", THRESHOLD, WIDTH, "set", BANDS, ROWS)
-    gone = cut(found.where("not kept").select(F.col("rid").alias("_rid")).distinct())
-    return join_small(docs.withColumn("_rid", row_id(F.col("doc_id"), F.col("text"))), gone, ["_rid"], "left_anti").select(docs.columns)
+    grouped = found.where("component is not null").groupBy("component", "rid").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first"))
+    marked = cut(grouped.join(first, "component").select("rid", (F.col("rid") == F.col("first.rid")).alias("stays"), "n"))
+    names = docs.columns
+    own = docs.select(F.struct(*names).alias("row"), row_id(F.col("doc_id"), F.col("text")).alias("rid"))
+    left = join_small(own, marked.where("not stays").select("rid"), ["rid"], "left_anti")
+    again = cut(marked.where("stays and n > 1").select("rid"))
+    n = again.count()
+    if n:  # equal rows: one of each
+        once = join_small(left, again, ["rid"], rows=n).groupBy("rid").agg(F.first("row").alias("row")).select("row")
+        left = join_small(left, again, ["rid"], "left_anti", rows=n).select("row").unionByName(once)
+    return left.select("row.*")
