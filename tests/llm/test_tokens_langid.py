@@ -1,5 +1,7 @@
 import os
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,6 +42,34 @@ def test_count_edited(spark, counter):
     assert tokens.count_edited(df.limit(0)).count() == 0
 
 
+def test_kept_trees_are_edited_again(spark, counter):
+    rnd, alphabet = random.Random(6), " \n\t'abst1,é  "
+    text = {i: "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 3, 400, 9000]))) for i in range(12)}
+    trees = tokens.token_trees(spark.createDataFrame(list(text.items()), "doc_id long, text string"))
+    for _ in range(3):
+        edits = {}
+        for i, t in text.items():
+            a = rnd.randint(0, len(t))
+            edits[i] = [(a, a + 4, rnd.choice(["", "new words 12", "é"]))]
+            text[i] = t[:a] + edits[i][0][2] + t[a + 4 :]
+        own = spark.createDataFrame(list(edits.items()), "doc_id long, edits array<struct<start:int,end:int,text:string>>")
+        out = tokens.apply_edits(trees.join(own, "doc_id")).collect()
+        for r in out:
+            assert r.text == text[r.doc_id] and r.n_tokens_edited == len(counter.encoding.encode_ordinary(r.text)) == sum(r.tokens)
+            assert r.n_read <= 4 * tokens.BLOCK * 4 and r.n_pretokens >= r.n_read
+        trees = spark.createDataFrame(out).select(*[c.split()[0] for c in tokens.TREE.split(", ")])
+    large = tokens.TokenTree(counter, "some words of text " * 50_000)
+    kept = tokens.TokenTree(counter, large.text, [tokens.Block(b.chars, b.tokens, b.size, b.data) for b in large.kept()])
+    kept.edit(400_000, 400_003, "other")
+    assert kept.n_tokens == len(counter.encoding.encode_ordinary(kept.text)) and kept.read <= 2 * tokens.BLOCK and kept.encoded < 12
+
+
+def test_odd_trees(spark):
+    rows = [(1, None, None, None, None, None, None), (None, "", [], [], [], [], [(0, 0, "a b"), None])]
+    out = {r.doc_id: (r.n_tokens, r.n_tokens_edited) for r in tokens.apply_edits(spark.createDataFrame(rows, tokens.TREE + ", edits array<struct<start:int,end:int,text:string>>")).collect()}
+    assert out == {1: (0, 0), None: (0, 2)}
+
+
 def test_sample_edits_against_whole_counts(spark, counter):
     df = tokens.sample_edits(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     texts = {r.doc_id: (r.text, r.edits) for r in df.collect()}
@@ -83,6 +113,43 @@ def test_held_out_accuracy(spark):
     assert out.where("score < 0 or score > 1").count() == 0
 
 
+def test_filters_against_sets(spark):
+    """Predictions by whole sets of n-grams instead of filters."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    top = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text is not None and r.lang is not None:
+            for _, _, codes, _ in langid.grams([r.text]):
+                top.setdefault(r.lang, Counter()).update(codes.tolist())
+    share = {k: {c: n / sum(v.values()) for c, n in v.items()} for k, v in top.items()}
+    most = Counter()
+    for v in share.values():
+        for c, x in v.items():
+            most[c] = max(most[c], x)
+    known = {}
+    for k, v in share.items():
+        good = sorted((n for c, n in top[k].items() if v[c] >= langid.RATIO * most[c]), reverse=True)
+        least = min((n for i, n in enumerate(good) if (i + 1 == len(good) or good[i + 1] < n) and i < langid.GRAMS), default=0)
+        known[k] = {c for c, n in top[k].items() if v[c] >= langid.RATIO * most[c] and n >= least}
+    got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs), "text").collect()}
+    agree = 0
+    for r in rows:
+        codes = [c for _, _, x, _ in langid.grams([r.text or ""]) for c in x.tolist()]
+        found = {k: sum(c in s for c in codes) / max(1, len(codes)) for k, s in known.items()}
+        best = max(sorted(found), key=found.get) if codes else "und"
+        agree += got[r.doc_id].lang_pred == best
+        assert not codes or abs(got[r.doc_id].score - found[got[r.doc_id].lang_pred]) < 0.02
+    assert agree >= len(rows) - 2
+
+
+def test_rows_without_ids_are_sampled(spark):
+    rows = [(None, f"the cat and the dog {i} of the house", "en") for i in range(7000)] + [(1, f"der Hund und die Katze {i} im Haus", "de") for i in range(3500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(spark.createDataFrame([("the dog and the cat",), ("die Katze und der Hund",)], "text string"), langid.train(docs)).collect()
+    assert [(r.lang_pred, r.score > 0.5) for r in found] == [("en", True), ("de", True)]
+
+
 def test_identify_edges(spark):
     docs = spark.createDataFrame([(i, f"the cat and the dog {i}" if i % 2 else f"der Hund und die Katze {i}", "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
     model = langid.fit(docs)
