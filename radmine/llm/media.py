@@ -10,6 +10,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -92,91 +93,175 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _psi(body: bytes) -> bytes | None:
-    """The section's content after its 8 header bytes, None if its CRC or length is wrong."""
-    start = 1 + body[0]
-    size = (body[start + 1] & 0x0F) << 8 | body[start + 2]
-    s = body[start : start + 3 + size]
-    return s[8:-4] if len(s) == 3 + size and size >= 9 and crc_mpeg(s) == 0 else None
+@dataclass
+class Stream:
+    """What a demuxer has of one elementary stream: payload, pts of each PES (None without), rap (indexes of the PES that
+    are random-access points), rap_offsets (into the payload), lost (PES begun but not whole)."""
 
+    kind: int
+    payload: bytes = b""
+    pts: list[int | None] = field(default_factory=list)
+    rap: list[int] = field(default_factory=list)
+    rap_offsets: list[int] = field(default_factory=list)
+    lost: int = 0
 
-def demux(ts: bytes) -> dict:
-    """payload, pts (of each PES), rap (indexes of PES that are random-access points), rap_offsets (into the payload),
-    cc_errors, bad (packets without sync or with transport error), tables (valid program tables read).
 
-    Bytes of a PES begun before a continuity error are dropped with it (`lost` counts PES). Null packets, unknown PIDs
-    and repeated packets are skipped.
-    """
-    if len(ts) % PACKET:
-        raise ValueError("not a whole number of packets")
-    seen, pids, pmts, tables, bad, errors, lost = {}, set(), set(), 0, 0, 0, 0
-    units: list[tuple[int | None, bool, list[bytes]]] = []
-    open_, known = None, {}
-    for at in range(0, len(ts), PACKET):
-        b1, b3 = ts[at + 1], ts[at + 3]
-        if ts[at] != SYNC or b1 & 0x80:
-            bad += 1
-            continue
-        pid = (b1 & 0x1F) << 8 | ts[at + 2]
+# Stream ids whose PES have no header fields after the length.
+_BARE = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+
+
+class Demuxer:
+    """Reads a transport stream packet by packet; each PID has its own counter, table sections and PES in the making."""
+
+    def __init__(self) -> None:
+        self.cc_errors = self.bad = self.tables = self.scrambled = 0
+        self.streams: dict[int, Stream] = {}
+        self._pmts: set[int] = set()
+        self._last: dict[int, tuple[int, bytes]] = {}
+        self._sections: dict[int, bytearray] = {}
+        self._known: set[tuple[int, bytes]] = set()
+        self._open: dict[int, tuple[bool, list[bytes]]] = {}
+        self._parts: dict[int, list[bytes]] = {}
+        self._size: dict[int, int] = {}
+
+    def packet(self, p: bytes) -> None:
+        b1, b3 = p[1], p[3]
+        if b1 & 0x80:
+            self.bad += 1
+            return
+        pid, start = (b1 & 0x1F) << 8 | p[2], 4
         if pid == NULL_PID or not b3 & 0x10:
-            continue
-        start, rap, jump = at + 4, False, False
+            return
+        rap = jump = False
         if b3 & 0x20:
-            n = ts[start]
+            n = p[4]
             if n:
-                flags = ts[start + 1]
-                rap, jump = bool(flags & 0x40), bool(flags & 0x80)
-            start += 1 + n
-        cc, before = b3 & 15, seen.get(pid)
+                rap, jump = bool(p[5] & 0x40), bool(p[5] & 0x80)
+            start = 5 + n
+            if start > PACKET:
+                self.bad += 1
+                return
+        cc, before = b3 & 15, self._last.get(pid)
+        self._last[pid] = cc, p
         if before is not None and not jump:
-            if cc == before and not b1 & 0x40:
-                continue
-            if cc != (before + 1 & 15):
-                errors += 1
-                if pid in pids and open_ is not None:
-                    open_, lost = None, lost + 1
-        seen[pid] = cc
-        if pid in pids:
-            if b1 & 0x40:
-                open_ = (None, rap, [ts[start : at + PACKET]])
-                units.append(open_)
-            elif open_ is not None:
-                open_[2].append(ts[start : at + PACKET])
-        elif pid == PAT_PID or pid in pmts:
-            if not b1 & 0x40:
-                continue
-            body = ts[start : at + PACKET]
-            if (pid, body) in known:  # a repeated table
-                tables += 1
-                continue
-            if (s := _psi(body)) is None:
-                bad += 1
-                continue
-            known[pid, body] = True
-            tables += 1
-            if pid == PAT_PID:
-                pmts |= {(s[i + 2] & 0x1F) << 8 | s[i + 3] for i in range(0, len(s), 4) if s[i] | s[i + 1]}
-            else:
-                i = 4 + ((s[2] & 0x0F) << 8 | s[3])
-                while i + 5 <= len(s):
-                    pids.add((s[i + 1] & 0x1F) << 8 | s[i + 2])
-                    i += 5 + ((s[i + 3] & 0x0F) << 8 | s[i + 4])
-    parts, pts, raps, offsets, size = [], [], [], [], 0
-    for _, rap, pieces in units:
-        pes = b"".join(pieces)
-        length = pes[4] << 8 | pes[5]
-        if pes[:3] != b"\0\0\1" or length and len(pes) < 6 + length:
-            lost += 0 if pes[:3] == b"\0\0\1" and errors else 1
-            continue
-        body = pes[9 + pes[8] : 6 + length if length else len(pes)]
-        t = pes[9:14] if pes[7] & 0x80 else b""
+            if cc == before[0] and p == before[1]:
+                return  # a repeated packet
+            if cc != before[0] + 1 & 15:
+                self.cc_errors += 1
+                self._sections.pop(pid, None)
+                if self._open.pop(pid, None):
+                    self.streams[pid].lost += 1
+        first = bool(b1 & 0x40)
+        if pid in self.streams:
+            if b3 & 0xC0:
+                self.scrambled += 1
+            elif first:
+                self._end(pid)
+                self._open[pid] = rap, [p[start:]]
+            elif pid in self._open:
+                self._open[pid][1].append(p[start:])
+        elif pid == PAT_PID or pid in self._pmts:
+            self._psi(pid, first, p[start:])
+
+    def _psi(self, pid: int, first: bool, body: bytes) -> None:
+        if first:
+            if (pid, body) in self._known:  # a whole table again
+                self.tables += 1
+                return
+            head = 1 + body[0] if body else 0
+            if pid in self._sections:  # what is before the pointer ends the section before
+                self._sections[pid] += body[1:head]
+                self._take(pid)
+            self._sections[pid] = bytearray(body[head:])
+            if self._take(pid) and head == 1:
+                self._known.add((pid, body))
+        elif pid in self._sections:
+            self._sections[pid] += body
+            self._take(pid)
+
+    def _take(self, pid: int) -> bool:
+        """Read the whole sections held; whether nothing is left of them."""
+        held = self._sections[pid]
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                return False
+            s = bytes(held[:size])
+            del held[:size]
+            if size < 12 or crc_mpeg(s):
+                self.bad += 1
+            elif s[5] & 1:
+                self.tables += 1
+                self._read(pid, s)
+        if not held or held[0] == 0xFF:
+            del self._sections[pid]
+            return True
+        return False
+
+    def _read(self, pid: int, s: bytes) -> None:
+        body = s[8:-4]
+        if pid == PAT_PID and s[0] == 0:
+            self._pmts |= {(body[i + 2] & 0x1F) << 8 | body[i + 3] for i in range(0, len(body) - 3, 4) if body[i] | body[i + 1]}
+        elif s[0] == 2 and len(body) >= 4:
+            i = 4 + ((body[2] & 0x0F) << 8 | body[3])
+            while i + 5 <= len(body):
+                self.streams.setdefault((body[i + 1] & 0x1F) << 8 | body[i + 2], Stream(body[i]))
+                i += 5 + ((body[i + 3] & 0x0F) << 8 | body[i + 4])
+
+    def _end(self, pid: int) -> None:
+        """The PES in the making of this PID is at its end."""
+        if pid not in self._open:
+            return
+        rap, parts = self._open.pop(pid)
+        pes, out = b"".join(parts), self.streams[pid]
+        length = pes[4] << 8 | pes[5] if len(pes) >= 6 else 0
+        if pes[:3] != b"\0\0\1" or len(pes) < 6 + length or (pes[3] not in _BARE and (len(pes) < 9 or len(pes) < 9 + pes[8])):
+            out.lost += 1
+            return
+        end, t = 6 + length if length else len(pes), b""
+        if pes[3] in _BARE:
+            body = pes[6:end]
+        else:
+            body = pes[9 + pes[8] : end]
+            t = pes[9:14] if pes[7] & 0x80 and pes[8] >= 5 else b""
+        at = self._size.get(pid, 0)
         if rap:
-            raps.append(len(pts))
-            offsets.append(size)
-        pts.append((t[0] & 0xE) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1 if t else None)
-        parts.append(body)
-        size += len(body)
-    return {"payload": b"".join(parts), "pts": pts, "rap": raps, "rap_offsets": offsets, "cc_errors": errors, "bad": bad, "tables": tables, "lost": lost}
+            out.rap.append(len(out.pts))
+            out.rap_offsets.append(at)
+        out.pts.append((t[0] & 0xE) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1 if t else None)
+        self._parts.setdefault(pid, []).append(body)
+        self._size[pid] = at + len(body)
+
+    def close(self) -> Demuxer:
+        for pid in list(self._open):
+            self._end(pid)
+        for pid, parts in self._parts.items():
+            self.streams[pid].payload = b"".join(parts)
+        return self
+
+
+def demux(ts: bytes) -> Demuxer:
+    """All elementary streams that the program tables name (streams: by PID, in table order), with counts: cc_errors, bad
+    (stretches without sync, packets with errors, sections with a wrong CRC, a truncated last packet), tables, scrambled.
+
+    A PES that meets a continuity error or is cut off is dropped whole and counted as lost. Null packets, unknown PIDs and
+    repeated packets are skipped. After a loss of sync reading goes on at the next two sync bytes a packet apart. An empty
+    stream has no elementary streams."""
+    out, at, n = Demuxer(), 0, len(ts)
+    while at + PACKET <= n:
+        if ts[at] == SYNC:
+            out.packet(ts[at : at + PACKET])
+            at += PACKET
+            continue
+        out.bad += 1
+        at = ts.find(SYNC, at)
+        while at >= 0 and at + PACKET < n and ts[at + PACKET] != SYNC:
+            at = ts.find(SYNC, at + 1)
+        if at < 0:
+            break
+    else:
+        out.bad += at < n
+    return out.close()
 
 
 def padded(data: bytes) -> bytes:
@@ -191,15 +276,23 @@ def _mux_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(x) for x in data], "media": [mux(padded(x)) for x in data]})
 
 
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, rap_pts array<long>, rap_offsets array<long>"
+
+
 def _demux_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in frames:
         rows = []
         for doc, n, media in zip(df["doc_id"], df["n_bytes"], df["media"], strict=True):
-            m = demux(bytes(media))
-            p = m["payload"]
-            feature = f"tables={m['tables']};pes={len(m['pts'])};pts={m['pts'][0]}-{m['pts'][-1]};rap={len(m['rap'])}@{','.join(map(str, m['rap_offsets'][:4]))};cc_errors={m['cc_errors']};lost={m['lost']}"
-            rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, m["pts"], [m["pts"][i] for i in m["rap"]], m["rap_offsets"]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "rap_pts", "rap_offsets"]).astype({"doc_id": "Int64"})
+            media = b"" if media is None else bytes(media)
+            m = demux(media)
+            s = next(iter(m.streams.values()), Stream(0))
+            p, known = s.payload, [t for t in s.pts if t is not None]
+            raps = zlib.crc32(",".join(map(str, s.rap_offsets)).encode())
+            times = f"{known[0]}-{known[-1]}" if known else "-"
+            feature = f"streams={len(m.streams)};tables={m.tables};pes={len(s.pts)};pts={times};rap={len(s.rap)}@{raps:08x};cc_errors={m.cc_errors};bad={m.bad};lost={s.lost}"
+            rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.pts, [s.pts[i] for i in s.rap], s.rap_offsets))
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
+        yield out.astype({"doc_id": "Int64", "n_bytes": "Int64"})
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,9 +307,26 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Demuxed columns of store_media's table: digests, feature text, timestamps (pts), random-access points."""
-    return media.mapInPandas(_demux_frames, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, rap_pts array<long>, rap_offsets array<long>")
+    """FEATURES of (doc_id, n_bytes, media): digests and a feature text of the first elementary stream, its timestamps (null
+    where a PES has none), the timestamps and payload offsets of all its random-access points.
+
+    Null and empty media have no stream: an empty payload and empty arrays. Damaged media give what can be read, and the
+    feature says what was lost. Null ids stay null, repeated rows repeat, an empty table gives an empty one."""
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(_demux_frames, FEATURES)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(store_media(table(spark, sf_dir, "documents"))).drop("pts", "rap_pts", "rap_offsets")
+    return media_features(store_media(table(spark, sf_dir, "documents")))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, octet_length(b)::BIGINT AS n, b FROM b),
+p AS (SELECT doc_id, n, greatest(1, ceil(n / 576.0))::BIGINT * 576 AS m, b FROM s)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || unhex(repeat('FF', (m - n)::INT))) AS payload_sha256 FROM p
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": media.op8,
     "op9_chat": chat.op9,
     "op10_sentencepiece": pieces.op10,
+    "media_payloads": media.payloads,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op3_neighbours": neighbours.OP3_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
+    "media_payloads": media.PAYLOAD_SQL,
 }
