@@ -92,7 +92,7 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
         for df in frames:
             for path, content in zip(df["path"], df["content"], strict=True):
                 data = bytes(content)
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                data = gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
                 rows, size = [], 0
                 try:
                     for r in parse_arc(data):
