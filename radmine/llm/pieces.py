@@ -21,8 +21,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, frugal, stored, table, trim
 from .shingles import mix
@@ -263,16 +265,18 @@ class Dictionary:
 
     @classmethod
     def pack(cls, parts: list[tuple[bytes, bytes, bytes]]) -> Dictionary:
-        """From (hashes, counts, ids) of disjoint sets of units."""
+        """From (hashes, counts, ids) of disjoint sets of units; the numbers are kept as small as they are."""
         join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
-        keys, count, ids = join(0, np.uint64), join(1, np.int32), join(2, np.int32)
+        keys, count = join(0, np.uint64), join(1, np.uint16)
+        ids = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(p[2], np.uint16 if len(p[2]) == 2 * int(np.frombuffer(p[1], np.uint16).sum(dtype=np.int64)) else np.int32) for p in parts)])
+        first = np.zeros(len(keys), np.int64 if len(ids) >> 31 else np.int32)
+        np.cumsum(count[:-1], out=first[1:])
         order = np.argsort(keys, kind="stable")
-        first = np.cumsum(count, dtype=np.int64) - count
         keys = keys[order]
-        # where the keys with each value of the topmost bits begin: about one key a value
-        bits = max(1, len(keys).bit_length())
-        index = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        return cls(keys, first[order].astype(np.int64 if len(ids) >> 31 else np.int32), count[order], ids, np.append(index, len(keys)).astype(np.int32))
+        # where the keys with each value of the topmost bits begin: one or two keys a value
+        bits = max(1, len(keys).bit_length() - 1)
+        index = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+        return cls(keys, first[order], count[order], ids, np.append(index, np.int32(len(keys))))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 for those that aren't there."""
@@ -330,7 +334,7 @@ def text_units(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 ends = np.append(starts[1:], len(chars))
                 if len(at):
                     yield pd.DataFrame({"unit": [chars[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]})
-                seen = keys if len(seen) + len(keys) > SEEN else np.sort(np.concatenate([seen, keys]))
+                seen = keys if len(seen) + len(keys) > SEEN else np.sort(np.concatenate([seen, keys]), kind="stable")  # merges two sorted runs
         trim()
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "unit string").groupBy("unit").agg(F.count("*").alias("n"))
@@ -350,13 +354,16 @@ def encode_words(words: DataFrame, model: Model, col: str = "word") -> DataFrame
     """
     spark = words.sparkSession
     order = {s: k for k, s in enumerate(sorted({s for _, s in model.ids.values()}, reverse=True))}
-    pieces = spark.createDataFrame([(p, i, float(s), order[s]) for p, (i, s) in model.ids.items()], "sub string, id int, score double, nth long")
+    pieces = spark.createDataFrame([(p, i, float(s), order[s]) for p, (i, s) in model.ids.items()], "piece string, own int, score double, nth long")
+    # the join's key is a number, which is looked up faster than text; the texts are compared as well
+    pieces = pieces.withColumn("key", F.xxhash64("piece"))
     w = words.select(F.col(col).alias("word")).where(F.length("word").between(1, UNIT_CHARS))
     n = F.length("word")
     starts = w.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, n))).alias("e"))
     spans = spans.select("word", "s", "e", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")).alias("sub"))
-    edges = spans.join(F.broadcast(pieces), "sub", "left").where((F.col("id").isNotNull()) | (F.col("e") - F.col("s") == 1))
+    edges = spans.withColumn("key", F.xxhash64("sub")).join(F.broadcast(pieces), "key", "left").withColumn("id", F.when(F.col("piece") == F.col("sub"), F.col("own")))
+    edges = edges.where((F.col("id").isNotNull()) | (F.col("e") - F.col("s") == 1)).select("word", "s", "e", "id", F.when(F.col("id").isNotNull(), F.col("score")).alias("score"), F.when(F.col("id").isNotNull(), F.col("nth")).alias("nth"))
     place = lambda s, e: s * (2 * UNIT_CHARS) + e
     if model.algorithm == "unigram":
         edge = F.struct("e", "s", F.coalesce("score", F.lit(model.lowest)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
@@ -371,24 +378,25 @@ def encode_words(words: DataFrame, model: Model, col: str = "word") -> DataFrame
 
         path = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: F.get(state, n)["path"])
     else:
-        k = place(F.col("s"), F.col("e")).alias("k")
-        merges = F.collect_list(F.when(F.col("id").isNotNull() & (F.col("e") - F.col("s") > 1), F.struct(k, "nth")))
-        lattice = edges.groupBy("word").agg(merges.alias("merges"), F.collect_list(F.struct(k, F.coalesce("id", F.lit(-1)).alias("id"))).alias("spans"))
+        # an edge as one number: its place, its rank, and its id + 1 (0 for a character without a piece)
+        packed = F.shiftleft(place(F.col("s"), F.col("e")).cast("long"), 48) + F.shiftleft(F.coalesce("nth", F.lit(0)).cast("long"), 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+        lattice = edges.groupBy("word").agg(F.collect_list(packed).alias("edges"))
+        entry = lambda x: F.struct(F.shiftright(x, 48).cast("int").alias("k"), x.bitwiseAND(F.lit((1 << 48) - 1)).alias("v"))
 
-        def bounds(nth):
+        def bounds(edge):
             # state: where symbols begin, and the end; each step merges the best-ranked neighbours, the first of equals
             def step(state, _):
-                offers = F.transform(F.slice(state, F.lit(1), F.greatest(F.size(state) - 2, F.lit(0))), lambda s, i: F.try_element_at(nth, place(s, F.get(state, i + 2))) * UNIT_CHARS + i)
+                offers = F.transform(F.slice(state, F.lit(1), F.greatest(F.size(state) - 2, F.lit(0))), lambda s, i: F.shiftright(F.try_element_at(edge, place(s, F.get(state, i + 2))), 24) * UNIT_CHARS + i)
                 return _once(F.array_min(offers), lambda best: F.when(best.isNull(), state).otherwise(F.filter(state, lambda s, i: i != best % UNIT_CHARS + 1)))
 
             return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
-        def symbols(at, id_of):
+        def symbols(at, edge):
             end = lambda i: F.get(at, i + 1)
-            return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda s, i: F.struct(s.alias("s"), end(i).alias("e"), F.try_element_at(id_of, place(s, end(i))).alias("id")))
+            own = lambda s, i: F.try_element_at(edge, place(s, end(i))).bitwiseAND(F.lit((1 << 24) - 1)).cast("int") - 1
+            return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda s, i: F.struct(s.alias("s"), end(i).alias("e"), own(s, i).alias("id")))
 
-        found = _once(F.map_from_entries("merges"), bounds)
-        path = _once(found, lambda at: _once(F.map_from_entries("spans"), lambda id_of: symbols(at, id_of)))
+        path = _once(F.map_from_entries(F.transform("edges", entry)), lambda edge: _once(bounds(edge), lambda at: symbols(at, edge)))
     if len(model.bytes) == 256:
         table_of = F.array(*[F.lit(model.bytes[b]) for b in range(256)])
         spelt = lambda sub: F.transform(F.filter(F.split(F.regexp_replace(F.hex(sub.cast("binary")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.get(table_of, F.conv(h, 16, 10).cast("int")))
@@ -442,10 +450,14 @@ def dictionary(units: DataFrame, coded: DataFrame, total: int, limit: int = DICT
             starts = np.cumsum([0, *(len(u) for u in names)])
             keys = unit_hashes("".join(names), starts[:-1]) if names else np.zeros(0, np.uint64)
             ids = [np.asarray(x, np.int32) for x in df["ids"]]
-            yield pd.DataFrame([(keys.tobytes(), np.array([len(x) for x in ids], np.int32).tobytes(), b"".join(x.tobytes() for x in ids))], columns=["keys", "counts", "ids"])
+            every = np.concatenate([np.zeros(0, np.int32), *ids])
+            every = every.astype(np.uint16) if not len(every) or every.max() < 1 << 16 else every
+            yield pd.DataFrame([(keys.tobytes(), np.array([len(x) for x in ids], np.uint16).tobytes(), every.tobytes())], columns=["keys", "counts", "ids"])
 
     parts = (coded if chosen is None else coded.where(chosen)).select("unit", "ids").mapInPandas(pack, "keys binary, counts binary, ids binary").collect()
-    words = Dictionary.pack([(bytes(r["keys"]), bytes(r["counts"]), bytes(r["ids"])) for r in parts])
+    words = Dictionary.pack([tuple(r) for r in parts])
+    del parts
+    trim()
     if len(words.keys) > 1 and (words.keys[1:] == words.keys[:-1]).any():
         raise RuntimeError("two units have one hash")  # of 4 million: once in 2 million runs
     return words, None if chosen is None else coded.where(~chosen).select("unit", "ids")
@@ -464,8 +476,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", limit: int = D
     names = base.columns
     words, others = dictionary(*unit_table(base, model, text_col), limit)
     shared = spark.sparkContext.broadcast((words, model.pieces, model.algorithm, model.dummy_prefix))
-    own = fresh("own", *names)
-    if others is not None:
+    own, with_others = fresh("own", *names), others is not None
+    if with_others:
         key = fresh("key", *names)
 
         def lacking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -485,24 +497,22 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", limit: int = D
         extra = wanted.join(others, "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias(own)).withColumnRenamed("key", key)
         base = base.withColumn(key, digest).join(extra, key, "left").select(*names, own)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, *rest = shared.value
         m = Model(*rest)
         to_ids, to_texts = _encoder(m, known), m.decoder()
-        for df in frames:
-            for i in range(0, len(df), OUT_ROWS):
-                part = df.iloc[i : i + OUT_ROWS]
-                extra = [None if x is None else {u["unit"]: u["ids"] for u in x} for x in part[own]] if own in part else [None] * len(part)
-                ids, counts = to_ids([t if isinstance(t, str) else "" for t in part[text_col]], extra)
-                ends = np.cumsum(counts)
-                yield part[names].assign(ids=np.split(ids, ends[:-1]) if len(part) else [], decoded=to_texts(ids, counts))
+        for whole in batches:
+            for i in range(0, len(whole), OUT_ROWS):
+                part = whole.slice(i, OUT_ROWS)
+                extra = [x and {u["unit"]: u["ids"] for u in x} for x in part.column(own).to_pylist()] if with_others else [None] * len(part)
+                ids, counts = to_ids([t or "" for t in part.column(text_col).to_pylist()], extra)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array(to_texts(ids, counts), pa.string())], names=[*names, "ids", "decoded"])
         del known, m, to_ids, to_texts
         trim()
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*base.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, text_col: str = "text") -> DataFrame:

@@ -51,7 +51,7 @@ def test_dictionary(model):
     keys = pieces.unit_hashes("".join(units), starts)
     assert [pieces.unit_hashes(u, np.zeros(1, np.int64))[0] for u in units] == list(keys)
     ids = [[1], [], [2, 3], [4]]
-    d = pieces.Dictionary.pack([(keys.tobytes(), np.array([len(i) for i in ids], np.int32).tobytes(), np.array(sum(ids, []), np.int32).tobytes())])
+    d = pieces.Dictionary.pack([(keys.tobytes(), np.array([len(i) for i in ids], np.uint16).tobytes(), np.array(sum(ids, []), np.uint16).tobytes())])
     at = d.find(np.append(keys, np.uint64(7)))
     assert [d.ids[d.first[i] : d.first[i] + d.count[i]].tolist() for i in at[:4]] == ids and at[4] == -1
 
