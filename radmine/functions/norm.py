@@ -21,21 +21,28 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The table's value, or null: a literal map, folded into the plan."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def singular(word: Column, compat: bool = True) -> Column:
-    """Rule-based singular of one lower-cased word. compat keeps the literal rule, which cuts words such as mass or
-    kyphosis; otherwise words in ss, sis and us stay."""
+def singular(word: Column, compat: bool = True, lemmas: dict[str, str] | None = None) -> Column:
+    """Singular of one lower-cased word: an irregular one, else the caller's dictionary (lemmas), else by rule. compat keeps
+    the literal rule, which cuts words such as mass or kyphosis; otherwise words in ss, sis and us stay."""
     n, keep = F.length(word), ~F.endswith(word, F.lit("s")) | word.isin(*NOT_PLURAL)
     if not compat:
         keep = keep | word.rlike("(ss|sis|us)$")
     cut = lambda k: F.left(word, n - k)
+    known = F.when(word.isin(*IRREGULAR_PLURALS), lookup(IRREGULAR_PLURALS, word))
+    if lemmas:
+        known = known.when(word.isin(*lemmas), lookup(lemmas, word))
     return (
-        F.when(word.isin(*IRREGULAR_PLURALS), lookup(IRREGULAR_PLURALS, word))
-        .when(keep, word)
+        known.when(keep, word)
         .when(F.endswith(word, F.lit("ies")) & (n > 4), F.concat(cut(3), F.lit("y")))
         .when((n > 3) & word.rlike("(x|s|z|ch|sh)es$"), cut(2))
         .when(n > 3, cut(1))
@@ -43,15 +50,15 @@ def singular(word: Column, compat: bool = True) -> Column:
     )
 
 
-def head(raw: Column, compat: bool = True) -> Column:
-    """Canonical head: squeezed and lower-cased; phrases for normal; whole-string aliases; else the last word's singular.
-    Null and blank give an empty text."""
+def head(raw: Column, compat: bool = True, lemmas: dict[str, str] | None = None) -> Column:
+    """Canonical head: squeezed and lower-cased; phrases for normal; whole-string aliases; else the last word's singular
+    (lemmas: a dictionary of the caller's that goes before the rule). Null and blank give an empty text."""
     s = squeeze(F.lower(F.coalesce(raw, F.lit(""))))
     for phrase in NORMAL_PHRASES:
         s = F.regexp_replace(s, phrase, "normal")
 
     def canonical(s: Column) -> Column:
-        last = lambda w: F.concat(F.left(s, F.length(s) - F.length(w)), singular(w, compat))
+        last = lambda w: F.concat(F.left(s, F.length(s) - F.length(w)), singular(w, compat, lemmas))
         return F.coalesce(lookup(HEAD_ALIASES, s), let(F.substring_index(s, " ", -1), last))
 
     return let(s, canonical)

@@ -19,9 +19,9 @@ PLACES = (
     "left pleural", "left lower lobe", "right upper lobe", "bilateral airspace", "lungs bilaterally", "heart size", "mediastinal contours",
     "left - sided", "right - sided pleural", "left costophrenic angle", "osseous structures", "left basilar", "bibasilar", "pulmonary venous",
     "bony thorax", "thoracic spine", "chest wall", "hila", "stomach", "", "midline", "basal", "Left and right lung", "unilateral  apex",
-    "cardiopulmonary", "RIGHT Middle Lobe", "apical", "svc tip",
+    "cardiopulmonary", "RIGHT Middle Lobe", "apical", "svc tip", " segment 1", "1 lobe 2", "  ",
 )
-MODIFIERS = ("remote", "chronic", "old", "mild", "acute", "stable", "", "Focal", "small")
+MODIFIERS = ("remote", "chronic", "old", "mild", "acute", "stable", "", "Focal", "small", " 0 grade 1 ")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -65,6 +65,7 @@ def test_sentences(spark_session):
     assert t.sentences == ["Multifocal pneumonia in the left lower lobe.", "No pleural effusion in the right pleural space.", "Possible focal opacity in the right upper lobe, suggestive of possible nodule."]
     assert t.text == " ".join(t.sentences)
     assert told(spark_session, fact("x", locations=["a", " ", "b", "c"], modifiers=["m", "n"])).text == "M and n x in the a, b and c."
+    assert told(spark_session, fact("x 1", locations=["lobe", " segment 1", "\u00a0 ", "1 c 2\u00a0"])).text == "X 1 in the lobe, segment 1 and 1 c 2."
 
 
 def test_what_cannot_be_told(spark_session):
