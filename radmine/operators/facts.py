@@ -73,3 +73,14 @@ def unplaced(facts: DataFrame, limit: int = 40) -> DataFrame:
     """The most frequent raw locations without a region: (raw, n)."""
     raw = facts.select(F.explode("locations").alias("raw")).where("trim(raw) <> ''").groupBy("raw").agg(F.count("*").alias("n"))
     return raw.where(norm.location(F.col("raw"))["region"] == "other").orderBy(F.desc("n"), "raw").limit(limit)
+
+
+def head_map(facts: DataFrame) -> DataFrame:
+    """(raw, canonical) of the distinct heads; a null head counts as an empty text."""
+    return facts.select(F.coalesce("raw_head", F.lit("")).alias("raw")).distinct().withColumn("canonical", norm.head(F.col("raw")))
+
+
+def location_map(facts: DataFrame) -> DataFrame:
+    """(raw, laterality, region, lobe, needs_review) of the distinct locations that aren't blank."""
+    raw = facts.select(F.explode("locations").alias("raw")).where("trim(raw) <> ''").distinct()
+    return raw.withColumn("x", norm.location(F.col("raw"))).select("raw", "x.laterality", "x.region", "x.lobe", "x.needs_review")

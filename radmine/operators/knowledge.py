@@ -62,11 +62,12 @@ def pair_table(facts: DataFrame, min_pair_count: int = 3, max_candidates: int =
     e = facts.where("section = 'impression'").select("record_id", F.explode("suggestive_of").alias("e"))
     led = e.select("record_id", norm.head(F.coalesce(F.nullif(F.col("e.finding"), F.lit("")), F.col("e.head"))).alias("target_head"), norm.assertion(F.col("e.assertion")).alias("target_assertion")).where("target_head <> '' and target_assertion <> 'unknown'")
     targets = own.unionByName(led).groupBy("record_id").agg(F.collect_set(F.struct("target_head", "target_assertion")).alias("targets"))
-    both = items.join(targets, "record_id").select(F.explode(_pairs(F.col("items"))).alias("p"), "targets")
+    # pairs are counted by their keys alone; only those that occur often enough meet their records' targets
     key = ["left_assertion", "left_head", "right_assertion", "right_head"]
-    both = both.select(F.col("p.l.assertion").alias(key[0]), F.col("p.l.head").alias(key[1]), F.col("p.r.assertion").alias(key[2]), F.col("p.r.head").alias(key[3]), "targets")
+    both = items.join(targets.select("record_id"), "record_id").select("record_id", F.explode(_pairs(F.col("items"))).alias("p"))
+    both = both.select("record_id", F.col("p.l.assertion").alias(key[0]), F.col("p.l.head").alias(key[1]), F.col("p.r.assertion").alias(key[2]), F.col("p.r.head").alias(key[3]))
     enough = both.groupBy(*key).agg(F.count("*").alias("denominator")).where(F.col("denominator") >= min_pair_count)
-    n = both.join(enough.select(*key), key, "left_semi").select(*key, F.explode("targets").alias("t")).groupBy(*key, "t.target_head", "t.target_assertion").agg(F.count("*").alias("count"))
+    n = both.join(enough.select(*key), key, "left_semi").join(targets, "record_id").select(*key, F.explode("targets").alias("t")).groupBy(*key, "t.target_head", "t.target_assertion").agg(F.count("*").alias("count"))
     rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("count"), "target_head", "target_assertion"))
     return n.withColumn("rank", rank).where(F.col("rank") <= max_candidates).join(enough, key).withColumn("confidence", F.col("count") / F.col("denominator"))
 
@@ -167,8 +168,8 @@ def fused(facts: DataFrame, edges: DataFrame, pairs: DataFrame, topk: int = 10,
     cases = f.select("query_id").distinct().select("query_id", "query_id.head", "query_id.assertion", F.col("query_id.fired").cast("string").alias("record_id"))
     rule = cases.select("record_id").where("record_id = 'true'").distinct()
     best = candidates(cases, edges, rule, min_count=min_count, topk=per_fact)
-    key = F.to_json("query_id").alias("key")
-    one = f.select("record_id", "bucket_ord", "pos", key).join(best.select(key, "rank", *CANDIDATE, "score"), "key")
+    key = [F.col("query_id.head").alias("asked"), F.coalesce("query_id.assertion", F.lit("any")).alias("want"), F.col("query_id.fired").alias("fired")]
+    one = f.select("record_id", "bucket_ord", "pos", *key).join(best.select(*key, "rank", *CANDIDATE, "score"), ["asked", "want", "fired"])
     one = one.select("record_id", F.struct(F.lit(0).alias("late"), F.col("bucket_ord").alias("b"), F.col("pos").alias("p"), F.col("rank").alias("r")).alias("o"), *CANDIDATE, "score")
     two = pair_candidates(facts, pairs, min_count=min_count).select("record_id", F.struct(F.lit(1).alias("late"), F.lit(0).alias("b"), F.lit(0).alias("p"), F.col("rank").alias("r")).alias("o"), *CANDIDATE, "score")
     every = one.unionByName(two)
@@ -177,6 +178,12 @@ def fused(facts: DataFrame, edges: DataFrame, pairs: DataFrame, topk: int = 10,
     return out.withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("score"), "o"))).where(F.col("rank") <= topk).drop("o")
 
 
+def pair_stats(pairs: DataFrame) -> DataFrame:
+    """(kind, key, n): pairs, rows, targets and the largest denominator of a pair table; an empty table counts nothing."""
+    x = pairs.agg(F.countDistinct("left_assertion", "left_head", "right_assertion", "right_head").alias("pairs"), F.count("*").alias("rows"), F.countDistinct("target_head").alias("targets"), F.coalesce(F.max("denominator"), F.lit(0)).alias("largest_denominator"))
+    return x.select(F.explode(F.array(*[F.struct(F.lit("count").alias("kind"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in x.columns])).alias("r")).select("r.*")
+
+
 def write(path: str, edges: DataFrame, pairs: DataFrame | None = None) -> None:
     """Knowledge as Parquet tables below path: edges, and pairs where given."""
     edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -199,3 +206,10 @@ def as_json(edges: DataFrame) -> DataFrame:
     """(source_head, rows): the edge table keyed by head, rows as a JSON array in rank order."""
     row = F.struct("rank", "target_head", "target_assertion", "source_assertion", "source_section", "count", F.round("confidence", 4).alias("confidence"))
     return edges.groupBy("source_head").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("rows"))
+
+
+def pairs_as_json(pairs: DataFrame) -> DataFrame:
+    """(pair, rows): the pair table keyed by 'assertion|head + assertion|head', rows as a JSON array in rank order."""
+    name = F.concat_ws(" + ", F.concat_ws("|", "left_assertion", "left_head"), F.concat_ws("|", "right_assertion", "right_head"))
+    row = F.struct("rank", "target_head", "target_assertion", "count", "denominator", F.round("confidence", 4).alias("confidence"))
+    return pairs.groupBy(name.alias("pair")).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("rows"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import norm
 from ..vocab import SECTION_HEADERS
 
+# Forms of header lines, line ends and report paths.
 HEADER = r"^[\s\x1c-\x1f\x85\xa0]*([A-Z][A-Z0-9 /,()\-]+?)\s*:\s*(.*)$"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 REPORT_PATH = r"(?:^|/)files/p\d+/p(\d+)/s(\d+)\.txt$"
@@ -71,6 +72,11 @@ def counters(reports: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("seen"), no("findings").alias("missing_findings"), no("impression").alias("missing_impression"), F.count_if((F.col("s.findings") != "") & (F.col("s.impression") != "")).alias("both"))
 
 
+def sampled(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """A reproducible sample of n rows: those with the smallest hashes of seed and id (ties by id). Fewer rows: all."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
+
+
 def carried(lines: DataFrame, by: str, order: str) -> DataFrame:
     """The same carry-forward where a report's lines are rows: (by, order, line) with section, the last header's at or
     before each line (header lines included), null where another header closed it."""

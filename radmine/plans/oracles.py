@@ -3,7 +3,7 @@ engine: normalization is spelt out once per distinct text and joined."""
 
 from __future__ import annotations
 
-from ..operators import infer
+from ..operators import infer, verify
 from ..vocab import (
     BUCKETS,
     CHRONIC_HEADS,
@@ -20,7 +20,7 @@ from ..vocab import (
     REGIONS,
 )
 from .adapters import HEADS, MODIFIERS, PLACES
-from .queries import ANSWERS, HEAD_GOLDENS, PLACE_GOLDENS, SAID
+from .queries import ANSWERS, HEAD_GOLDENS, LEMMAS, PLACE_GOLDENS, SAID
 
 
 def _q(text: str) -> str:
@@ -296,7 +296,31 @@ _heads = """,
 ih0 AS (SELECT record_id, head AS h FROM f WHERE section = 'impression' AND head <> '' UNION SELECT record_id, tf FROM e WHERE section = 'impression' AND tf <> ''),
 ih AS (SELECT record_id, list_sort(list(h)) AS heads FROM ih0 GROUP BY record_id),
 qt0 AS (SELECT record_id AS qid, unnest(string_split(tokens, ' ')) AS token FROM toks WHERE record_id % 100 = 0 AND record_id IN (SELECT record_id FROM ih)),"""
-_prompt_line = "'  - ' || target_head || ' (target_assertion: ' || target_assertion || ', confidence: ' || round_even(confidence * 100, 0)::BIGINT || '%, source: ' || source_section || ')'"
+_prompt_line = "'* ' || target_head || ', ' || target_assertion || ' in ' || round_even(confidence * 100, 0)::BIGINT || '% [' || source_section || ']'"
+_question = f"{_q(infer.FINDINGS)} || finding_text || chr(10) || {_q(infer.CANDIDATES)} || coalesce(lines, 'none known') || {_q(infer.IMPRESSION)}"
+PROMPTS = FUSED + CASE_TEXTS + f""",
+cl AS (SELECT record_id, string_agg({_prompt_line}, chr(10) ORDER BY rank) AS lines FROM fused GROUP BY record_id),
+qu AS (SELECT record_id, {_question} AS question FROM texts LEFT JOIN cl USING (record_id))"""
+_for_prompt = lambda x, b: said(x, f"CASE WHEN contains(lower({x}), 'positive') THEN 'present' WHEN contains(lower({x}), 'negative') THEN 'absent' WHEN {b} = 'positive' THEN 'present' WHEN {b} = 'negative' THEN 'absent' ELSE 'uncertain' END")
+ANSWER = f""",
+ia AS (SELECT record_id, '[' || string_agg(to_json({{'head': trim(raw_head), 'assertion': {_for_prompt("raw_assertion", "bucket")}, 'locations': locations, 'modifiers': modifiers,
+    'suggestive_of': list_filter([CASE WHEN t1 <> '' THEN {{'head': t1, 'assertion': {_for_prompt("a1", "''")}}} END, CASE WHEN t2 <> '' THEN {{'head': t2, 'assertion': 'absent'}} END], lambda z: z IS NOT NULL)}})::VARCHAR, ', ' ORDER BY bucket_ord, pos) || ']' AS impression_json
+    FROM v WHERE section = 'impression' AND trim(raw_head) <> '' GROUP BY record_id)"""
+RECORDS = f"""WITH {VIEW[1:]} SELECT record_id, section, bucket, raw_head, raw_assertion, array_to_string(list_filter(locations, lambda z: z <> ''), '|') AS locations,
+    array_to_string(list_filter(modifiers, lambda z: z <> ''), '|') AS modifiers, ((t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT)::BIGINT AS n_edges FROM v"""
+LEGACY = PAIR_CANDIDATES.replace(f"ph AS (SELECT *, {SCORE} AS s, left_assertion || '|' || left_head || ' + ' || right_assertion || '|' || right_head AS name FROM pq JOIN pair USING (left_assertion, left_head, right_assertion, right_head) WHERE \"count\" >= 3)", f"""old AS (SELECT least(left_head, right_head) AS a, greatest(left_head, right_head) AS b, target_head, target_assertion, max("count") AS "count", max(confidence) AS confidence FROM pair GROUP BY ALL),
+newer AS (SELECT * FROM pair WHERE right_assertion <> 'present'),
+ph0 AS (SELECT pq.*, target_head, target_assertion, "count", confidence FROM pq JOIN newer USING (left_assertion, left_head, right_assertion, right_head)
+    UNION ALL SELECT pq.*, target_head, target_assertion, "count", confidence FROM pq JOIN old ON a = least(left_head, right_head) AND b = greatest(left_head, right_head)
+    WHERE NOT EXISTS (SELECT 1 FROM newer n WHERE n.left_assertion = pq.left_assertion AND n.left_head = pq.left_head AND n.right_assertion = pq.right_assertion AND n.right_head = pq.right_head)),
+ph AS (SELECT *, {SCORE} AS s, left_assertion || '|' || left_head || ' + ' || right_assertion || '|' || right_head AS name FROM ph0 WHERE "count" >= 3)""")
+_level = lambda c: f"split_part({c}, ':', 1)"
+_message = lambda c: f"CASE {_level(c)} " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in verify.MESSAGES[c].items()) + " END"
+_detail = "'head=' || head || ' assertion=' || assertion"
+DETAILS = " UNION ALL ".join(f"SELECT record_id, bucket_ord, pos, '{c}' AS \"check\", {_level(c)} AS severity, split_part({c}, ':', 2) AS action, {_message(c)} AS message, {_detail} AS detail FROM chk WHERE contains({c}, ':')" for c in _CHECKS)
+_outcome = lambda c: f"""'{{"check":"{c}","passed":' || (NOT regexp_matches({c}, '^(error|warning)')) || ',"skipped":' || ({c} = 'skip') || CASE WHEN contains({c}, ':') THEN ',"severity":"' || {_level(c)} || '","action":"' || split_part({c}, ':', 2) || '","message":"' || ({_message(c)}) || '","detail":"' || {_detail} || '"' ELSE '' END || '}}'"""
+JSON_TRACE = f""" SELECT record_id, '{{"passed":' || (sum({_n("error")}) = 0) || ',"errors":' || sum({_n("error")})::BIGINT || ',"warnings":' || sum({_n("warning")})::BIGINT || ',"facts":['
+    || string_agg('{{"head":"' || head || '","assertion":"' || assertion || '","passed":' || ({_n("error")} = 0) || ',"outcomes":[' || {" || ',' || ".join(_outcome(c) for c in _CHECKS)} || ']}}', ',' ORDER BY bucket_ord, pos) || ']}}' AS trace FROM chk GROUP BY record_id"""
 _share = lambda k: f"coalesce(count(*) FILTER (first <= {k}) / nullif(count(*), 0), 0.0)::DOUBLE"
 
 
@@ -356,10 +380,37 @@ SELECT count(*) AS n_injected, count(*) FILTER (b.errors > g.errors) AS n_caught
     "max_records": "WITH" + REPORTS + " SELECT 's' || conv_id AS id, path AS report_path FROM (SELECT * FROM r ORDER BY path LIMIT 25) WHERE impression <> ''",
     "parse_facts": """SELECT 'h' || (props->>'$.k') AS head, 'absent' AS assertion, '' AS locations, '' AS modifiers, count(*) AS n FROM events GROUP BY ALL
 UNION ALL SELECT * FROM (VALUES ('pneumonia', 'present', 'left lower lobe', '', 1), ('edema', 'uncertain', '', '', 1), ('nodule', 'uncertain', '', 'small', 1))""",
-    "repacked_graph": f"SELECT * FROM (VALUES ({_q(ANSWERS[0])}, 1::BIGINT, 0::BIGINT, 1::BIGINT, 0::BIGINT), ({_q(ANSWERS[1])}, 0, 0, 0, 0), ({_q(ANSWERS[2])}, 0, 0, 0, 0), ({_q(ANSWERS[3])}, 0, 0, 1, 0), ({_q(ANSWERS[4])}, 0, 0, 0, 0), ({_q(ANSWERS[5])}, 0, 0, 0, 0)) t(answer, positive, negative, uncertain, other)",
-    "prompt_messages": FUSED + CASE_TEXTS + f""",
-cl AS (SELECT record_id, string_agg({_prompt_line}, chr(10) ORDER BY rank) AS lines FROM fused GROUP BY record_id)
-SELECT record_id, 6::BIGINT AS n_messages, {_q(infer.FINDINGS)} || finding_text || chr(10) || {_q(infer.CANDIDATES)} || coalesce(lines, 'None') || {_q(infer.IMPRESSION)} AS question FROM texts LEFT JOIN cl USING (record_id)""",
+    "repacked_graph": """SELECT 0::BIGINT AS positive, 1::BIGINT AS negative, 1::BIGINT AS uncertain, 0::BIGINT AS other, count(*) AS n FROM events
+UNION ALL SELECT * FROM (VALUES (1, 0, 1, 0, 1), (0, 0, 0, 0, 4), (0, 0, 1, 0, 1))""",
+    "prompt_messages": PROMPTS + " SELECT record_id, 6::BIGINT AS n_messages, question FROM qu",
     "sample_records": "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100",
     "duplicate_texts": "SELECT doc_id, md5(text) AS digest, count(*) OVER (PARTITION BY text) AS n FROM documents QUALIFY n > 1",
+    "records_strict": RECORDS,
+    "records_unions": RECORDS,
+    "with_impression": f"WITH {VIEW[1:]} SELECT DISTINCT record_id FROM v WHERE section = 'impression'",
+    "reports_in_folders": "WITH" + REPORTS + " SELECT (conv_id % 97)::VARCHAR AS subject, conv_id::VARCHAR AS study, findings, impression FROM r",
+    "knowledge_export": BASE + EDGES + ' SELECT source_head, rank, target_head, target_assertion, source_assertion, source_section, "count", round(confidence, 4) AS confidence FROM ed',
+    "pair_export": BASE + PAIRS + """ SELECT left_assertion || '|' || left_head || ' + ' || right_assertion || '|' || right_head AS pair, rank, target_head, target_assertion, "count", denominator, round(confidence, 4) AS confidence FROM pair""",
+    "norm_map_export": BASE + """ SELECT DISTINCT 'head' AS kind, raw_head AS raw, head AS value FROM f
+UNION ALL SELECT DISTINCT 'location', raw, lat || '|' || region || '|' || lobe || '|' || review FROM loc""",
+    "knowledge_reload": FUSED + " SELECT * FROM fused",
+    "pair_stats": BASE + PAIRS + """ SELECT 'count' AS kind, 'pairs' AS key, count(DISTINCT (left_assertion, left_head, right_assertion, right_head)) AS n FROM pair
+UNION ALL SELECT 'count', 'rows', count(*) FROM pair UNION ALL SELECT 'count', 'targets', count(DISTINCT target_head) FROM pair UNION ALL SELECT 'count', 'largest_denominator', coalesce(max(denominator), 0) FROM pair""",
+    "candidates_legacy": BASE + PAIRS + LEGACY + " SELECT * FROM pcand",
+    "score_scrub": "SELECT CASE WHEN l_tax = 0 OR l_discount = 0 OR l_quantity > 45 THEN -1e18 ELSE l_quantity END::DOUBLE AS score, count(*) AS n FROM lineitem GROUP BY ALL",
+    "head_lemmas": f"""WITH {heads_cte(_values(HEADS))} SELECT raw, {_case(HEAD_ALIASES, "s", f"left(s, length(s) - length(w)) || CASE WHEN w IN {_list(LEMMAS)} AND w NOT IN {_list(IRREGULAR_PLURALS)} THEN {_case(LEMMAS, 'w', 'w')} ELSE right(canon, greatest(0, length(canon) - length(s) + length(w))) END")} AS canonical
+FROM hn1 JOIN hn USING (raw) WHERE raw IN (SELECT {_array(HEADS)}[l_partkey % {len(HEADS)} + 1] FROM lineitem)""",
+    "verify_details": BASE + IDENTITY + " " + DETAILS,
+    "verify_json": BASE + IDENTITY + JSON_TRACE,
+    "impression_answers": f"WITH {VIEW[1:]}" + ANSWER + " SELECT * FROM ia",
+    "infer_shots": BASE + TOKENS + CASE_TEXTS + ANSWER + ", qt0 AS (SELECT record_id AS qid, unnest(string_split(tokens, ' ')) AS token FROM toks WHERE record_id % 100 = 0)," + _bm25("SELECT record_id AS did, unnest(string_split(tokens, ' ')) AS token FROM toks", "SELECT * FROM qt0", 4) + f""",
+nr AS (SELECT qid AS record_id, finding_text, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM top JOIN texts ON texts.record_id = did JOIN ia ON ia.record_id = did WHERE qid <> did),
+ns AS (SELECT record_id, least(2, count(*)) AS n, max(finding_text) FILTER (nth = 1) AS shot FROM nr GROUP BY record_id)
+SELECT record_id, (6 + 2 * coalesce(n, 0))::BIGINT AS n_messages, {_q(infer.CASE)} || '1' || chr(10) || {_q(infer.FINDINGS)} || shot || {_q(infer.IMPRESSION)} AS first_shot,
+  'n' || (6 + 2 * coalesce(n, 0))::BIGINT AS head, NULL::VARCHAR AS error
+FROM (SELECT DISTINCT record_id FROM f WHERE section = 'finding' AND record_id % 100 = 0) LEFT JOIN ns USING (record_id)""",
+    "infer_counters": PROMPTS + """, x AS (SELECT length(question) AS n FROM qu WHERE record_id IN (SELECT record_id FROM f WHERE section = 'finding'))
+SELECT count(*) AS n_records, count(*) FILTER (n % 7 <> 0) AS n_success, count(*) FILTER (n % 7 <> 0 AND n % 5 = 0) AS n_empty, count(*) FILTER (n % 7 = 0) AS n_errors, count(*) FILTER (n % 7 <> 0 AND n % 5 <> 0) AS n_verified FROM x""",
 }
+ORACLES["reports_zipped"] = ORACLES["report_sections"]
+ORACLES["bm25_reload"] = ORACLES["bm25_topk"]
