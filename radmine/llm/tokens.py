@@ -275,7 +275,7 @@ def count_edited(docs: DataFrame, edits: str = "edits", text_col: str = "text",
 
     frugal(docs.sparkSession)
     schema = T.StructType([*docs.sparkSession.createDataFrame([], TREE).schema.fields, T.StructField("edits", both.schema["edits"].dataType)])
-    trees = stored(both.mapInPandas(run, schema), "token-trees", compression="zstd")
+    trees = stored(both.mapInPandas(run, schema), "token-trees", compression="zstd", **{"parquet.block.size": str(16 << 20)})
     return apply_edits(trees, keep=False, vocabulary=vocabulary)
 
 
@@ -290,5 +290,5 @@ def sample_edits(docs: DataFrame, text_col: str = "text", name: str = "edits") -
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents are built and stored; edits are then applied to the stored trees."""
-    trees = stored(token_trees(table(spark, sf_dir, "documents").select("doc_id", "text")), "token-trees", compression="zstd")
+    trees = stored(token_trees(table(spark, sf_dir, "documents").select("doc_id", "text")), "token-trees", compression="zstd", **{"parquet.block.size": str(16 << 20)})
     return apply_edits(sample_edits(trees), keep=False)
