@@ -141,18 +141,17 @@ def pair_candidates(facts: DataFrame, pairs: DataFrame, min_count: int = 3, min_
     f = facts.where("section = 'finding' and head <> ''")
     items = f.groupBy("record_id").agg(F.array_sort(F.collect_set(F.struct("assertion", "head"))).alias("items"), F.count("*").alias("n")).where("n > 1")
     p = items.select("record_id", F.explode(_pairs(F.col("items"))).alias("p")).select("record_id", F.col("p.l.assertion").alias("left_assertion"), F.col("p.l.head").alias("left_head"), F.col("p.r.assertion").alias("right_assertion"), F.col("p.r.head").alias("right_head"))
-    good = pairs.where((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence))
-    key = ["left_assertion", "left_head", "right_assertion", "right_head"]
-    hit = p.join(good, key)
+    # scores and names are made once a table row and once a pair, not once a hit; whole millionths add up alike in any order
+    scored = lambda df: df.where((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence)).withColumn("s", F.round(score(F.col("confidence"), F.col("count")) * 1e6).cast("long"))
+    p = p.withColumn("name", F.concat_ws(" + ", F.concat_ws("|", "left_assertion", "left_head"), F.concat_ws("|", "right_assertion", "right_head")))
+    key, row = ["left_assertion", "left_head", "right_assertion", "right_head"], ["target_head", "target_assertion", "count", "confidence", "s"]
+    hit = p.join(scored(pairs).select(*key, *row), key).select("record_id", "name", *row)
     if legacy is not None:
-        old = legacy.where((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence)).withColumnsRenamed({"left_head": "a", "right_head": "b"})
+        old = scored(legacy).withColumnsRenamed({"left_head": "a", "right_head": "b"}).select("a", "b", *row)
         missing = p.join(pairs.select(*key).distinct(), key, "left_anti")
         more = missing.join(old, (F.least("left_head", "right_head") == F.col("a")) & (F.greatest("left_head", "right_head") == F.col("b")))
-        columns = ["record_id", *key, "target_head", "target_assertion", "count", "confidence"]
-        hit = hit.select(*columns).unionByName(more.select(*columns))
-    name = F.concat_ws(" + ", F.concat_ws("|", "left_assertion", "left_head"), F.concat_ws("|", "right_assertion", "right_head"))
-    # whole millionths add up alike in any order
-    g = hit.groupBy("record_id", "target_head", "target_assertion").agg(F.max("count").alias("count"), F.max("confidence").alias("confidence"), F.sum((score(F.col("confidence"), F.col("count")) * 1e6).cast("decimal(20,0)")).alias("s"), F.count("*").alias("n_pairs"), F.array_sort(F.collect_list(name)).alias("supporting_pairs"))
+        hit = hit.unionByName(more.select("record_id", "name", *row))
+    g = hit.groupBy("record_id", "target_head", "target_assertion").agg(F.max("count").alias("count"), F.max("confidence").alias("confidence"), F.sum("s").alias("s"), F.count("*").alias("n_pairs"), F.array_sort(F.collect_list("name")).alias("supporting_pairs"))
     g = g.select("record_id", "target_head", "target_assertion", F.lit("mixed").alias("source_assertion"), F.lit("pair").alias("source_section"), "count", "confidence", (F.col("s").cast("double") / 1e6).alias("score"), "n_pairs", "supporting_pairs")
     g = g.withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("score"), F.desc("count"), "target_head", "target_assertion")))
     return g.where(F.col("rank") <= topk)
