@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def holds(text: Column, *words: str) -> Column:
+    """Whether text contains any of the words: byte searches, which cost far less than patterns and go before them."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The table's value, or null: a literal map, folded into the plan."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
@@ -91,22 +98,22 @@ def assertion_prompt(raw: Column, bucket: Column) -> Column:
 
 def laterality(text: Column) -> tuple[Column, Column]:
     """(bilateral, left, right or none; needs review) of a lower-cased text."""
-    word = lambda w: text.rlike(rf"(?U)\b{w}\b")
-    both, left, right, one = word("bilateral(ly)?"), word("left"), word("right"), word("unilateral(ly)?")
+    word = lambda w, more="": holds(text, w) & text.rlike(rf"(?U)\b{w}{more}\b")
+    both, left, right, one = word("bilateral", "(ly)?"), word("left"), word("right"), word("unilateral", "(ly)?")
     side = F.when(both | (left & right), "bilateral").when(left, "left").when(right, "right").otherwise("none")
     return side, F.when(~both & left & right, True).otherwise(one)
 
 
 def lobe(text: Column) -> Column:
     found = F.regexp_extract(text, r"(?U)\b(upper|middle|lower|apical|basilar|basal)\b|bibasilar", 0)
-    return F.coalesce(lookup(LOBES, found), F.lit("none"))
+    return F.when(holds(text, *LOBES), F.coalesce(lookup(LOBES, found), F.lit("none"))).otherwise("none")
 
 
 def region(text: Column) -> Column:
     """The first region, in table order, of which the text contains a key word; else other."""
     out = None
     for name, words in REGIONS:
-        hit = text.rlike("|".join(words))
+        hit = holds(text, *words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 
